@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import components, tokenize, visible
+from arborlake.llm import components, consensus, tokenize, visible
 from arborlake.llm.sql import SQL  # noqa: F401
 from arborlake.runtime import table
 
@@ -84,3 +84,32 @@ def p7_round_trip(spark, d):
     """Decoded text of every document beside its id: equals the text, '' for null."""
     ids = tokenize.encode_texts(table(spark, d, "documents"), "doc_id")
     return tokenize.decode_ids(ids, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+# P4 -----------------------------------------------------------------------------------------------
+
+_DIMS = ("vertical_coherence", "horizontal_coherence", "label_quality")
+
+
+def _ratings(spark, d):
+    return consensus.newest_ratings(table(spark, d, "node_scores"), "sample_id", "judge_key", {x: f"result.scores.{x}" for x in _DIMS}, "scored_at")
+
+
+@_query
+def p4_found(spark, d):
+    """Consensus score of every judged sample and dimension."""
+    found, _ = consensus.consensus(_ratings(spark, d), _DIMS)
+    return found.select(F.col("item").alias("sample_id"), "dimension", "consensus")
+
+
+@_query
+def p4_judges(spark, d):
+    """Reliability of every judge in every dimension."""
+    _, judges = consensus.consensus(_ratings(spark, d), _DIMS)
+    return judges.withColumnRenamed("rater", "judge_key")
+
+
+@_query
+def p4_alpha(spark, d):
+    """Krippendorff's ordinal alpha of each dimension."""
+    return consensus.ordinal_alpha(_ratings(spark, d), _DIMS).select("dimension", "n_items", F.round("alpha", 6).alias("alpha"))

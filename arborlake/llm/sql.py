@@ -48,3 +48,18 @@ SQL["p5_group_sizes"] = _GROUPS + """, s as (select group_id, count(*) group_siz
 select group_size, count(*) n_groups from s group by 1"""
 
 SQL["p7_round_trip"] = "select doc_id, md5(coalesce(text, '')) text_md5 from documents"
+
+_V = range(1, 6)
+_GAP = {(a, b): f"pow({'+'.join(f't{g}' for g in range(a, b + 1))} - (t{a} + t{b}) / 2.0, 2)" for a in _V for b in _V if a < b}
+SQL["p4_alpha"] = f"""
+with n as (select sample_id, judge_key, arg_max(result.scores, scored_at) s from node_scores
+           where sample_id is not null and judge_key is not null group by all),
+l as (select sample_id, 'vertical_coherence' dimension, s.vertical_coherence x from n
+      union all select sample_id, 'horizontal_coherence', s.horizontal_coherence from n
+      union all select sample_id, 'label_quality', s.label_quality from n),
+per as (select dimension, sample_id, count(*) n, {', '.join(f'count(*) filter (x = {v}) c{v}' for v in _V)}
+        from l where x between 1 and 5 group by all having count(*) > 1),
+t as (select dimension, count(*) n_items, sum(n)::double total, {', '.join(f'sum(c{v})::double t{v}' for v in _V)},
+      {', '.join(f'sum(2.0::double * c{a} * c{b} / (n - 1)) o{a}{b}' for a, b in _GAP)} from per group by dimension)
+select dimension, n_items, round(1 - (total - 1) * ({' + '.join(f'o{a}{b} * {g}' for (a, b), g in _GAP.items())})
+       / ({' + '.join(f'2 * t{a} * t{b} * {g}' for (a, b), g in _GAP.items())}), 6) alpha from t"""
