@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import components, consensus, tokenize, visible
+from arborlake.llm import components, consensus, pairs, tokenize, visible
 from arborlake.llm.sql import SQL  # noqa: F401
 from arborlake.runtime import table
 
@@ -113,3 +113,23 @@ def p4_judges(spark, d):
 def p4_alpha(spark, d):
     """Krippendorff's ordinal alpha of each dimension."""
     return consensus.ordinal_alpha(_ratings(spark, d), _DIMS).select("dimension", "n_items", F.round("alpha", 6).alias("alpha"))
+
+
+# P1 -----------------------------------------------------------------------------------------------
+
+
+@_query
+def p1_found(spark, d):
+    """Defective responses with their defect type."""
+    return pairs.flag_pairs(table(spark, d, "llm_balance_log"), "response_id", "prompt", "resp.raw", "ts")
+
+
+@_query
+def p1_by_task(spark, d):
+    """Defects per task, beside what the log's own flag says of them."""
+    log = table(spark, d, "llm_balance_log")
+    newest = log.filter("response_id is not null").groupBy("response_id").agg(F.max_by(F.struct("task", "resp.ok"), F.struct("ts", "resp.raw", "task")).alias("x"))
+    found = pairs.flag_pairs(log, "response_id", "prompt", "resp.raw", "ts")
+    return found.join(newest, "response_id").groupBy(F.col("x.task").alias("task"), "defect").agg(
+        F.count("*").alias("n_pairs"), F.count_if("x.ok").alias("n_marked_ok")
+    )
