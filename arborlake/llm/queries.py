@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import components, consensus, pairs, tokenize, visible
+from arborlake.llm import components, consensus, neighbors, pairs, tokenize, visible
 from arborlake.llm.sql import SQL  # noqa: F401
-from arborlake.runtime import table
+from arborlake.runtime import Stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -133,3 +133,30 @@ def p1_by_task(spark, d):
     return found.join(newest, "response_id").groupBy(F.col("x.task").alias("task"), "defect").agg(
         F.count("*").alias("n_pairs"), F.count_if("x.ok").alias("n_marked_ok")
     )
+
+
+# P2 -----------------------------------------------------------------------------------------------
+
+_DIM = 64
+
+
+def _corpus(spark, d):
+    return neighbors.usable_vectors(table(spark, d, "policy_corpus_embeddings"), "sample_id", "vector", "embedding", "loaded_at", _DIM)
+
+
+@_query
+def p2_found(spark, d):
+    """Pairs of a probe and one of its 10 most similar samples."""
+    stage = Stage(spark, "p2")
+    corpus, seen = stage.save(_corpus(spark, d), {"n": F.count(F.lit(1))})
+    probes = corpus.join(table(spark, d, "knn_probes").select(F.col("sample_id").alias("id")).distinct(), "id", "left_semi")
+    near = neighbors.knn(corpus, probes, _DIM, stage=stage, total=seen["n"])
+    return near.select(F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")).distinct()
+
+
+@_query
+def p2_exact(spark, d):
+    """Exact search (factor 1) over the embeddings table; queries are the ids divisible by 20."""
+    rows = neighbors.unit_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _DIM)
+    near = neighbors.knn(rows, rows.filter("id % 20 = 0"), _DIM, factor=1.0, shard_rows=512, leaf_rows=32)
+    return near.select("query_id", "rank", "id")

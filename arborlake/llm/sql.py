@@ -63,3 +63,9 @@ t as (select dimension, count(*) n_items, sum(n)::double total, {', '.join(f'sum
       {', '.join(f'sum(2.0::double * c{a} * c{b} / (n - 1)) o{a}{b}' for a, b in _GAP)} from per group by dimension)
 select dimension, n_items, round(1 - (total - 1) * ({' + '.join(f'o{a}{b} * {g}' for (a, b), g in _GAP.items())})
        / ({' + '.join(f'2 * t{a} * t{b} * {g}' for (a, b), g in _GAP.items())}), 6) alpha from t"""
+
+SQL["p2_exact"] = """
+with e as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings),
+s as (select a.vec_id query_id, b.vec_id id, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.v, b.v) desc, b.vec_id) r
+      from e a join e b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select query_id, cast(r as integer) rank, id from s where r <= 10"""
