@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import components, consensus, neighbors, pairs, tokenize, visible
+from arborlake.llm import components, consensus, neighbors, pairs, reading, tokenize, visible
 from arborlake.llm.sql import SQL  # noqa: F401
 from arborlake.runtime import Stage, table
 
@@ -160,3 +160,20 @@ def p2_exact(spark, d):
     rows = neighbors.unit_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _DIM)
     near = neighbors.knn(rows, rows.filter("id % 20 = 0"), _DIM, factor=1.0, shard_rows=512, leaf_rows=32)
     return near.select("query_id", "rank", "id")
+
+
+# P9 -----------------------------------------------------------------------------------------------
+
+
+@_query
+def p9_found(spark, d):
+    """Reading band of every document with a text."""
+    return reading.reading_bands(table(spark, d, "documents"), table(spark, d, "reading_examples")).select("doc_id", "reading_band")
+
+
+@_query
+def p9_profile(spark, d):
+    """Documents and mean level per source spelling and band."""
+    docs = table(spark, d, "documents")
+    bands = reading.reading_bands(docs, table(spark, d, "reading_examples"))
+    return docs.select("doc_id", "source").join(bands, "doc_id").groupBy("source", "reading_band").agg(F.count("*").alias("n_docs"), F.round(F.avg("level"), 3).alias("mean_level"))
