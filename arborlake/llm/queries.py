@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import components, consensus, neighbors, pairs, reading, tokenize, visible
+from arborlake.llm import components, consensus, mixing, neighbors, pairs, reading, tokenize, visible
 from arborlake.llm.sql import SQL  # noqa: F401
 from arborlake.runtime import Stage, table
 
@@ -177,3 +177,27 @@ def p9_profile(spark, d):
     docs = table(spark, d, "documents")
     bands = reading.reading_bands(docs, table(spark, d, "reading_examples"))
     return docs.select("doc_id", "source").join(bands, "doc_id").groupBy("source", "reading_band").agg(F.count("*").alias("n_docs"), F.round(F.avg("level"), 3).alias("mean_level"))
+
+
+# P8 -----------------------------------------------------------------------------------------------
+
+
+def _mix(spark, d):
+    docs = table(spark, d, "documents")
+    sizes = tokenize.encode_texts(docs.select(F.struct("doc_id", "source").alias("k"), "text"), "k", ids=False)
+    records = sizes.select(F.col("k.doc_id").alias("doc_id"), F.col("k.source").alias("source"), F.col("n_tokens").alias("size"))
+    return mixing.balance(records, table(spark, d, "mix_targets"), key="doc_id")
+
+
+@_query
+def p8_mix(spark, d):
+    """Copies of every document in the mix, with its size in tokens of byte_bpe_50k."""
+    copies, _ = _mix(spark, d)
+    return copies.select("doc_id", "source", F.col("size").cast("long").alias("n_tokens"), "copies")
+
+
+@_query
+def p8_shares(spark, d):
+    """Share asked and reached per target source."""
+    _, report = _mix(spark, d)
+    return spark.createDataFrame([tuple(r.values()) for r in report], mixing.REPORT)
