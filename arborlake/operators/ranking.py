@@ -18,11 +18,11 @@ def full_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank",
     """
     stage = Stage(df.sparkSession, "rank")
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage.save(df.repartitionByRange(n, F.col(key), *order).withColumn("_p", F.spark_partition_id()))
-    local = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p", key).orderBy(*order)))
-    counts = placed.groupBy(F.col(key).alias("_k"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q"))).withColumn(name, (F.col("_r") + F.col("_o")).cast("int")).drop("_p", "_r", "_k", "_q", "_o")
+    placed = stage.save(df.repartitionByRange(n, F.col(key), *order).withColumn("_fr_p", F.spark_partition_id()))
+    local = placed.withColumn("_fr_r", F.row_number().over(Window.partitionBy("_fr_p", key).orderBy(*order)))
+    counts = placed.groupBy(F.col(key).alias("_fr_k"), F.col("_fr_p").alias("_fr_q")).agg(F.count("*").alias("_fr_n"))
+    before = counts.withColumn("_fr_o", F.coalesce(F.sum("_fr_n").over(Window.partitionBy("_fr_k").orderBy("_fr_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_fr_n")
+    return local.join(before, F.col(key).eqNullSafe(F.col("_fr_k")) & (F.col("_fr_p") == F.col("_fr_q"))).withColumn(name, (F.col("_fr_r") + F.col("_fr_o")).cast("int")).drop("_fr_p", "_fr_r", "_fr_k", "_fr_q", "_fr_o")
 
 
 def running_count(df: DataFrame, key: str, order: list[Column], flag: Column, name: str) -> DataFrame:

@@ -159,13 +159,13 @@ _PAIR = """with n as (select node_id, max(label) label from tree_nodes_l3 where
 l as (select distinct child_id, parent_id from tree_parent_links_l4_to_l3 where parent_id is not null)"""
 
 
-@query("vc16_parent_child_overlap", _PAIR + f", j as (select l.child_id, l.parent_id, list_distinct({s_tokens('a.label')}) x, list_distinct({s_tokens('b.label')}) y from (select child_id, parent_id from tree_parent_links_l3_to_l2 union select child_id, parent_id from l) l join n a on a.node_id = l.child_id join n b on b.node_id = l.parent_id) select child_id, parent_id from j where len(x) + len(y) > 0 and len(list_intersect(x, y))::double / (len(x) + len(y) - len(list_intersect(x, y))) >= 0.3::double")
+@query("vc16_parent_child_overlap", _PAIR + f", j as (select l.child_id, l.parent_id, list_distinct({s_tokens('a.label')}) x, list_distinct({s_tokens('b.label')}) y from (select child_id, parent_id from tree_parent_links_l3_to_l2 union select child_id, parent_id from l) l join n a on a.node_id = l.child_id join n b on b.node_id = l.parent_id) select child_id, parent_id from j where len(x) + len(y) > 0 and len(list_intersect(x, y))::double / (len(x) + len(y) - len(list_intersect(x, y))) >= 0.1::double")
 def vc16(spark, d):
     """Parent-child pairs whose labels overlap enough to be looked at."""
     n = table(spark, d, "tree_nodes_l3").filter("label is not null").groupBy("node_id").agg(F.max("label").alias("label"))
     l = table(spark, d, "tree_parent_links_l3_to_l2").select("child_id", "parent_id").union(table(spark, d, "tree_parent_links_l4_to_l3").select("child_id", "parent_id")).distinct()
     j = l.join(n.select(F.col("node_id").alias("child_id"), F.col("label").alias("a")), "child_id").join(n.select(F.col("node_id").alias("parent_id"), F.col("label").alias("b")), "parent_id")
-    return j.filter(T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("b"))) >= 0.3).select("child_id", "parent_id")
+    return j.filter(T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("b"))) >= 0.1).select("child_id", "parent_id")
 
 
 @query("vc17_zero_vectors", "select count(*) filter (vector is null) filled, count(*) n from policy_corpus_embeddings")
