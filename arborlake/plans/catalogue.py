@@ -1,3 +1,3 @@
 """Imports every module that registers core queries."""
 
-from arborlake.plans import evaluation_queries, hierarchy_queries, ordered_queries, similarity_queries, text_queries, tree_queries  # noqa: F401
+from arborlake.plans import evaluation_queries, hierarchy_queries, io_queries, ordered_queries, similarity_queries, text_queries, tree_queries  # noqa: F401
