@@ -118,7 +118,7 @@ def balance(records: DataFrame, targets: DataFrame, total: float | None = None,
             new = dual[s] - max(-4.0, min(4.0, step))
             if not low[s] < new < high[s] or not math.isfinite(step):
                 new = (low[s] + high[s]) / 2  # Newton left the bracket: halve it
-            dual[s] = new
+            dual[s] = round(new, 9)  # sums differ in their last bits from run to run
 
     # whole copies: floor of the rate, and one more below a threshold of hash minus fraction
     hashed = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) / float(1 << 40)
