@@ -28,3 +28,22 @@ def full_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank",
 def running_count(df: DataFrame, key: str, order: list[Column], flag: Column, name: str) -> DataFrame:
     """Running number of flagged rows within a key, in order: document-sized groups."""
     return df.withColumn(name, F.sum(flag.cast("int")).over(Window.partitionBy(key).orderBy(*order)))
+
+
+def sliding_pairs(df: DataFrame, keys: list[str], order: list[Column], key: str, band: int) -> DataFrame:
+    """WN-13: (id_a, id_b) of every row with each of the next band rows of its group, in order.
+
+    Ranks span partitions and the join is on group and rank, so a hot group is spread over as many
+    tasks as it has rows. Rows with a null group key are left out.
+    """
+    kept = df
+    for k in keys:
+        kept = kept.filter(F.col(k).isNotNull())
+    named = kept.select(F.concat_ws("\x01", *keys).alias("_g"), F.col(key).alias("_id"), F.struct(*order_columns(order)).alias("_ord"))
+    ranked = full_rank(named, "_g", [F.asc("_ord")], "_at")
+    ahead = ranked.select(F.col("_g"), F.col("_id").alias("id_b"), F.explode(F.sequence(F.col("_at") - band, F.col("_at") - 1)).alias("_at"))
+    return ranked.join(ahead, ["_g", "_at"]).select(F.col("_id").alias("id_a"), "id_b")
+
+
+def order_columns(order: list[Column]) -> list[Column]:
+    return [c.alias(f"o{i}") for i, c in enumerate(order)]

@@ -122,6 +122,22 @@ def promotable(tree: DataFrame) -> DataFrame:
     return j.select("child_id", F.col("pid").alias("parent_id"), "grandparent_id", ok.alias("ok"))
 
 
+def collapse(tree: DataFrame, decisions: DataFrame) -> DataFrame:
+    """TR-11: vertical decisions on parent-child pairs: keep, rename (label), absorb (the child goes,
+    its children move up) or promote (the child takes its parent's place, where that is allowed).
+
+    decisions: child_id, action, label. Judged against the tree as it was, in the order rename, absorb,
+    promote; a pair without a decision is kept, and so is one whose decision does not fit.
+    """
+    names = decisions.filter("action = 'rename' and coalesce(label, '') <> ''").groupBy(F.col("child_id").alias("_c")).agg(F.min("label").alias("_l"))
+    named = tree.join(names, F.col("node_id") == F.col("_c"), "left").withColumn("label", F.coalesce("_l", "label")).drop("_c", "_l")
+    up = tree.select(F.col("node_id").alias("loser"), F.col("parent_id").alias("winner")).filter("winner is not null")
+    less = absorb(named, up.join(decisions.filter("action = 'absorb'").select(F.col("child_id").alias("loser")), "loser", "left_semi"))
+    ok = promotable(less).filter("ok").join(decisions.filter("action = 'promote'").select("child_id"), "child_id", "left_semi")
+    moved = move_nodes(less, ok.select(F.col("child_id").alias("node_id"), F.col("grandparent_id").alias("new_parent_id")))
+    return moved.join(ok.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti")
+
+
 def add_children(tree: DataFrame, new: DataFrame) -> DataFrame:
     """TR-10, TR-15: new nodes under existing parents; an id that is taken gets _2 (or _k) behind it.
     new: node_id, label, level, parent_id. Rows under unknown parents are refused."""

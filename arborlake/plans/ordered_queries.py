@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlake.operators import ordered as O
-from arborlake.operators.ranking import full_rank
+from arborlake.operators.ranking import full_rank, sliding_pairs
 from arborlake.plans import query
 from arborlake.runtime import table
 
@@ -92,11 +92,9 @@ def wn11(spark, d):
 @query("wn13_sliding_pairs", """with o as (select doc_id, issuer_id, row_number() over (partition by source, issuer_id order by doc_id) ord, source from documents where issuer_id is not null and source is not null)
  select a.doc_id id_a, b.doc_id id_b from o a join o b on a.source = b.source and a.issuer_id = b.issuer_id and b.ord between a.ord + 1 and a.ord + 3""")
 def wn13(spark, d):
-    """Each row with the next 3 of its group (band of 3): leads, so no self-join per group."""
-    w = Window.partitionBy("source", "issuer_id").orderBy("doc_id")
-    docs = table(spark, d, "documents").filter("issuer_id is not null and source is not null").select("doc_id", "source", "issuer_id")
-    nexts = docs.withColumn("n", F.array_compact(F.array(*[F.lead("doc_id", k).over(w) for k in (1, 2, 3)])))
-    return nexts.select(F.col("doc_id").alias("id_a"), F.explode("n").alias("id_b"))
+    """Each row with the next 3 of its group; one issuer holds a tenth of the rows."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "issuer_id")
+    return sliding_pairs(docs, ["source", "issuer_id"], [F.col("doc_id")], "doc_id", 3)
 
 
 @query("jn15_range_texts", f"""with {B}, r as (select doc, min(pos) a, max(pos) z from b where body group by doc)

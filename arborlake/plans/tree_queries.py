@@ -117,6 +117,13 @@ def tr10(spark, d):
     return R.add_children(tree(spark, d), n).select("node_id", "parent_id")
 
 
+@query("tr11_vertical_collapse", TREE + " select node_id, case when parent_id = 'N1' then (select parent_id from t where node_id = 'N1') else parent_id end parent_id, case when node_id = 'N2' then 'renamed' else label end label from t where node_id <> 'N1'")
+def tr11(spark, d):
+    """N1 is absorbed, N2 renamed; promoting N3, which has siblings, is refused."""
+    dec = spark.createDataFrame([("N1", "absorb", None), ("N2", "rename", "renamed"), ("N3", "promote", None), ("N4", "keep", None), ("zz", "absorb", None)], "child_id string, action string, label string")
+    return R.collapse(tree(spark, d), dec).select("node_id", "parent_id", "label")
+
+
 @query("tr12_level_jumps", TREE + " select c.node_id, c.parent_id from t c join t p on c.parent_id = p.node_id where p.level <> 'ROOT' and cast(substr(c.level, 2) as integer) - cast(substr(p.level, 2) as integer) > 1")
 def tr12(spark, d):
     return R.level_jumps(tree(spark, d))
