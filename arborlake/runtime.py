@@ -130,5 +130,13 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return salted.join(spread, (F.col(left_key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt_r")), how).drop("_salt", "_salt_r")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over three tasks a core at least, for work that is heavy per row and small in bytes: sizes
+    alone would put such rows into a few partitions."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
