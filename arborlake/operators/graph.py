@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions.text import jaccard, node_id, tokens
+from arborlake.operators.ranking import full_rank
 from arborlake.runtime import Stage
 
 
@@ -24,13 +25,21 @@ def trimmed_mean(x, share: float = 0.1):
 def contract_edges(pairs: DataFrame, members: DataFrame, score: str = "sim") -> DataFrame:
     """AG-01..04, JN-01: pair scores between nodes: (node_a < node_b, score_mean, score_p75,
     score_max, pair_count). Pairs inside a node or with an unknown end drop out; both directions
-    of a pair count. The trimmed mean ranks within each node pair; percentile and maximum
-    pre-aggregate."""
+    of a pair count.
+
+    Trimmed mean and percentile (linear) are sums over ranked scores, so a node pair with any number
+    of scores is spread over tasks and never one list.
+    """
     m = members.select("node_id", "member_id").distinct()
     mapped = pairs.join(m.select(F.col("member_id").alias("id_a"), F.col("node_id").alias("na")), "id_a").join(m.select(F.col("member_id").alias("id_b"), F.col("node_id").alias("nb")), "id_b")
     ends = mapped.filter("na <> nb").select(F.least("na", "nb").alias("node_a"), F.greatest("na", "nb").alias("node_b"), F.col(score).cast("double").alias("s")).filter("s is not null")
-    return ends.groupBy("node_a", "node_b").agg(
-        trimmed_mean(F.collect_list("s")).alias("score_mean"), F.percentile("s", F.lit(0.75)).alias("score_p75"), F.max("s").alias("score_max"), F.count("*").alias("pair_count")
+    keyed = ends.withColumn("_g", F.struct(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    ranked = full_rank(keyed, "_g", [F.asc("s")], "_r", total="_t")
+    k, at = F.floor(F.col("_t") * 0.1), (F.col("_t") - 1) * 0.75
+    low = F.floor(at)
+    share = F.when(F.col("_r") == low + 1, 1 - (at - low)).when(F.col("_r") == low + 2, at - low).otherwise(0.0)
+    return ranked.groupBy("node_a", "node_b").agg(
+        F.avg(F.when((F.col("_r") > k) & (F.col("_r") <= F.col("_t") - k), F.col("s"))).alias("score_mean"), F.sum(share * F.col("s")).alias("score_p75"), F.max("s").alias("score_max"), F.count("*").alias("pair_count")
     )
 
 

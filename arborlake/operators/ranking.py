@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from arborlake.runtime import Stage
 
 
-def full_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
+def full_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank", partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Row number from 1 of every row within its key, without one task per key.
 
     Rows are range-partitioned by key and order, so a hot key spans several partitions; each row
     ranks within its partition and key, and gets the count of the key's earlier partitions on top.
-    order must be total. Null keys form one group. Top-k uses rank filters instead, which Spark
+    total names a column for the number of rows of the key. Null keys form one group; rows that are equal
+    in order take their ranks in any order. Top-k uses rank filters instead, which Spark
     already limits before the shuffle.
     """
     stage = Stage(df.sparkSession, "rank")
@@ -21,7 +22,11 @@ def full_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank",
     placed = stage.save(df.repartitionByRange(n, F.col(key), *order).withColumn("_fr_p", F.spark_partition_id()))
     local = placed.withColumn("_fr_r", F.row_number().over(Window.partitionBy("_fr_p", key).orderBy(*order)))
     counts = placed.groupBy(F.col(key).alias("_fr_k"), F.col("_fr_p").alias("_fr_q")).agg(F.count("*").alias("_fr_n"))
+    if total:
+        counts = counts.withColumn("_fr_t", F.sum("_fr_n").over(Window.partitionBy("_fr_k")))
     before = counts.withColumn("_fr_o", F.coalesce(F.sum("_fr_n").over(Window.partitionBy("_fr_k").orderBy("_fr_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_fr_n")
+    if total:
+        before = before.withColumnRenamed("_fr_t", total)
     return local.join(before, F.col(key).eqNullSafe(F.col("_fr_k")) & (F.col("_fr_p") == F.col("_fr_q"))).withColumn(name, (F.col("_fr_r") + F.col("_fr_o")).cast("int")).drop("_fr_p", "_fr_r", "_fr_k", "_fr_q", "_fr_o")
 
 
