@@ -86,7 +86,7 @@ class BytePairEncoder:
         self.unknown = self.model.unk_id()
         chars = byte_characters()
         self.table = {b: c for b, c in chars.items()} | {_SEP: _SEP_CHAR}
-        self.back = {ord(c): b for b, c in chars.items()}
+        self.back = {ord(c): chr(b) for b, c in chars.items()}
         self.cut = regex.compile(PRETOKEN)
         self.known: dict[str, list[int]] = {}
 
@@ -119,7 +119,7 @@ class BytePairEncoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         pieces = "".join(self.model.id_to_piece(int(i)) for i in ids)
-        return bytes(self.back[ord(c)] for c in pieces).decode("utf-8")
+        return pieces.translate(self.back).encode("latin-1").decode("utf-8")
 
 
 def _model(name: str, folder: str | None) -> bytes:
