@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.text import jaccard, node_id, tokens
 from arborlake.operators.ranking import full_rank
-from arborlake.runtime import Stage
+from arborlake.runtime import Stage, hot_keys, skew_join
 
 
 #: Top-level categories of a definition list, at most.
@@ -64,10 +64,12 @@ def components(nodes: DataFrame, graph: DataFrame, key: str = "id", max_rounds:
         if not seen["n"]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("_u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
-        small = large.join(least, F.col("u") == F.col("_u")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"), "_n")
+        hot = hot_keys(low, "_u", "_n", 2 * seen["n"])
+        large = skew_join(both, low.drop("_n"), "u", "_u", hot, "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumnRenamed("u", "_u")
+        hot = hot_keys(least, "_u", "_n", 2 * seen["n"])
+        small = skew_join(large, least.drop("_n"), "u", "_u", hot, "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         before, old = edges, seen
         edges, seen = stage.save(small, {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))})
         stage.drop(before)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.operators.hierarchy import descendants, hierarchy
-from arborlake.runtime import Stage
+from arborlake.runtime import Stage, find_hot, skew_join
 
 
 def build_tree(nodes: DataFrame, links: DataFrame, root: str = "ROOT") -> DataFrame:
@@ -45,13 +45,17 @@ def tree_table(tree: DataFrame) -> DataFrame:
     """
     p = tree_paths(tree)
     labels = tree.select(F.col("node_id").alias("_i"), F.col("label").alias("_l"))
-    spots = p.select("node_id", F.posexplode("path").alias("_pos", "_id")).join(labels, F.col("_id") == F.col("_i"))
+    # every path holds the root, so path positions have hot ids as parents have
+    spots = p.select("node_id", F.posexplode("path").alias("_pos", "_id"))
+    spots = skew_join(spots, labels, "_id", "_i", find_hot(spots, "_id"), "node_id")
     names = spots.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_l", F.lit("")).alias("_l")))), lambda x: x["_l"]).alias("path_labels"))
     kids = tree.filter("parent_id is not null").groupBy(F.col("parent_id").alias("_p")).agg(F.count("*").alias("_n"))
     parents = tree.select(F.col("node_id").alias("_pid"), F.col("label").alias("parent_label"), F.col("level").alias("parent_level"))
     out = tree.join(p.drop("on_cycle", "subtree_size"), "node_id", "left").join(names, "node_id", "left")
     out = out.join(kids.select(F.col("_p").alias("_k"), F.col("_n").alias("_kn")), F.col("node_id") == F.col("_k"), "left")
-    out = out.join(kids.select(F.col("_p").alias("_s"), F.col("_n").alias("_sn")), F.col("parent_id") == F.col("_s"), "left").join(parents, F.col("parent_id") == F.col("_pid"), "left")
+    hot = find_hot(tree, "parent_id")
+    out = skew_join(out, kids.select(F.col("_p").alias("_s"), F.col("_n").alias("_sn")), "parent_id", "_s", hot, "node_id", "left")
+    out = skew_join(out, parents, "parent_id", "_pid", hot, "node_id", "left")
     n = F.coalesce("_kn", F.lit(0))
     return out.select(
         "node_id", "label", "level", "depth", "parent_id", "parent_label", "parent_level", n.alias("children_count"), F.coalesce(F.col("_sn") - 1, F.lit(0)).alias("sibling_count"),
@@ -167,7 +171,9 @@ def level_jumps(tree: DataFrame) -> DataFrame:
     from arborlake.functions.text import level_number
 
     p = tree.filter("level <> 'ROOT'").select(F.col("node_id").alias("parent_id"), level_number(F.col("level")).alias("pl"))
-    return tree.join(p, "parent_id").filter(level_number(F.col("level")) - F.col("pl") > 1).select("node_id", "parent_id")
+    p = p.withColumnRenamed("parent_id", "_pid")
+    joined = skew_join(tree, p, "parent_id", "_pid", find_hot(tree, "parent_id"), "node_id")
+    return joined.filter(level_number(F.col("level")) - F.col("pl") > 1).select("node_id", "parent_id")
 
 
 def fan_out(tree: DataFrame, limit: int = 7) -> DataFrame:

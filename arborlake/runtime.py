@@ -111,6 +111,13 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int, least: int = HOT_M
     return {r[0]: int(r[1] // limit) + 1 for r in counts.filter(F.col(n) > limit).select(key, n).collect()}
 
 
+def find_hot(df: DataFrame, key: str) -> dict:
+    """hot_keys of a table's key column, by one pre-aggregating count; nothing is hot in small tables."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
+    total, most = counts.agg(F.sum("_c"), F.max("_c")).first()
+    return hot_keys(counts, key, "_c", total) if (most or 0) > HOT_MIN_ROWS else {}
+
+
 def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: dict, salt_on: str, how: str = "inner") -> DataFrame:
     """left joined to right (unique by right_key); rows of hot keys are spread over salts.
 

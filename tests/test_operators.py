@@ -149,3 +149,22 @@ def test_tree_edits(spark):
 def test_line_batches(spark):
     b = spark.createDataFrame([("x", f"b{i}", s) for i, s in enumerate((100, 90, 20, 300, 5))], "l1 string, block_id string, size int")
     assert {r.block_id: r.batch for r in R.line_batches(b).collect()} == {"b0": 0, "b1": 0, "b2": 1, "b3": 2, "b4": 3}
+
+
+def test_hot_keys_give_the_same_results(spark, monkeypatch):
+    import arborlake.operators.graph as g
+    import arborlake.operators.tree as t
+    import arborlake.runtime as r
+
+    monkeypatch.setattr(r, "HOT_MIN_ROWS", 5)
+    monkeypatch.setattr(g, "hot_keys", lambda c, k, n, total: r.hot_keys(c, k, n, total, least=5))
+    monkeypatch.setattr(t, "find_hot", lambda df, k: r.hot_keys(df.filter(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n")), k, "n", 10**6 // 10**6 * 100, least=5))
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "id int")
+    edges = spark.createDataFrame([(7, i) for i in range(8, 50)] + [(50, 51)], "a int, b int")
+    got = {x.id: x.component for x in G.components(nodes, edges).collect()}
+    assert all(got[i] == 7 for i in range(7, 50)) and got[51] == 50 and got[3] == 3
+    rows = [("ROOT", "", "ROOT", None, 0), ("a", "A", "L1", "ROOT", 0)] + [(f"n{i}", f"N{i}", "L3", "a", i) for i in range(40)]
+    tr = spark.createDataFrame(rows, "node_id string, label string, level string, parent_id string, ord long")
+    table = {x.node_id: x for x in R.tree_table(tr).collect()}
+    assert len(table) == 42 and all(table[f"n{i}"].path_labels == ["", "A", f"N{i}"] and table[f"n{i}"].sibling_count == 39 for i in range(40))
+    assert R.level_jumps(tr).count() == 40
