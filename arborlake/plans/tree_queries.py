@@ -8,6 +8,7 @@ from arborlake.operators import lineage as L
 from arborlake.operators import tree as R
 from arborlake.operators.hierarchy import newest_links
 from arborlake.plans import query
+from arborlake.plans.hierarchy_queries import _CLIMB
 from arborlake.runtime import Stage, table
 
 
@@ -366,7 +367,7 @@ def ck02(spark, d):
     return C.multiple_parents(table(spark, d, "tree_parent_links_l4_to_l3"))
 
 
-@query("ck03_circles")
+@query("ck03_circles", _CLIMB + " select node, list_min(path[met:len(path) - 1]) circle from solved where met < len(path) and list_contains(path[met:len(path) - 1], node)")
 def ck03(spark, d):
     return C.circles(newest_links(table(spark, d, "tree_parent_links_l3_to_l2"), table(spark, d, "tree_parent_links_l4_to_l3")))
 
