@@ -137,6 +137,20 @@ def assign_parents(children: DataFrame, parents: DataFrame, score, decisions: Da
     )
 
 
+def top_categories(members: DataFrame, labels: DataFrame, tops: DataFrame, k: int = 5) -> DataFrame:
+    """ST-03: (node_id, category, score, rank) of the k best top categories per node by votes plus label
+    overlap; ties take the smaller id. tops is a short definition list, held as one literal array."""
+    listed = tops.select("id", "label").limit(MAX_CATEGORIES + 1).collect()
+    if len(listed) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} top categories")
+    all_tops = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.label).alias("label")) for r in listed])
+    votes = members.filter(F.col("l1").isin([r.id for r in listed])).groupBy(F.col("node_id").alias("_n"), F.col("l1").alias("_l")).agg(F.count("*").alias("_v"))
+    cand = labels.select("node_id", "label", F.explode(all_tops).alias("t")).join(votes, (F.col("node_id") == F.col("_n")) & (F.col("t.id") == F.col("_l")), "left")
+    scored = cand.select("node_id", F.col("t.id").alias("category"), (F.coalesce("_v", F.lit(0)) + jaccard(tokens(F.col("label")), tokens(F.col("t.label")))).alias("score"))
+    w = Window.partitionBy("node_id").orderBy(F.desc(F.round("score", 9)), "category")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def vote_link(members: DataFrame, labels: DataFrame, tops: DataFrame, threshold: float = 0.5) -> DataFrame:
     """GR-08, AG-06 (rounds without a model): (node_id, parent_id, decision, ratio).
 
@@ -147,14 +161,8 @@ def vote_link(members: DataFrame, labels: DataFrame, tops: DataFrame, threshold:
     votes = members.join(tops.select(F.col("id").alias("l1")), "l1").groupBy("node_id", "l1").agg(F.count("*").alias("v"))
     first = votes.join(sizes, "node_id").withColumn("_r", F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("v"), "l1"))).filter("_r = 1").select("node_id", F.col("l1").alias("_best"), (F.col("v") / F.col("n")).alias("ratio"))
     base = sizes.select("node_id").join(first, "node_id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-    open_ = base.filter(F.col("ratio") < threshold).select("node_id").join(labels, "node_id", "left")
-    # top categories are a short definition list, held as one literal array
-    listed = tops.select("id", "label").limit(MAX_CATEGORIES + 1).collect()
-    if len(listed) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} top categories")
-    all_tops = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.label).alias("label")) for r in listed])
-    cand = open_.select("node_id", "label", F.explode(all_tops).alias("t"))
-    cand = cand.join(votes, (cand["node_id"] == votes["node_id"]) & (F.col("t.id") == votes["l1"]), "left").select(cand["node_id"], F.col("t.id").alias("id"), (F.coalesce("v", F.lit(0)) + jaccard(tokens(F.col("label")), tokens(F.col("t.label")))).alias("s"))
-    top1 = cand.withColumn("_r", F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc(F.round("s", 9)), "id"))).filter("_r = 1").select("node_id", F.col("id").alias("_fall"))
+    undecided = base.filter(F.col("ratio") < threshold).select("node_id")
+    named = undecided.join(labels, "node_id", "left").select("node_id", "label")
+    top1 = top_categories(members, named, tops, 1).select("node_id", F.col("category").alias("_fall"))
     decided = F.col("ratio") >= threshold
     return base.join(top1, "node_id", "left").select("node_id", F.when(decided, F.col("_best")).otherwise(F.col("_fall")).alias("parent_id"), F.when(decided, "R1_Hard_Link").otherwise("fallback_top1").alias("decision"), "ratio")

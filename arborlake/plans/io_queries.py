@@ -233,6 +233,15 @@ def ex08(spark, d):
     return table(spark, d, "nation").select("n_nationkey", D.granularity_decision(resp).alias("x")).select("n_nationkey", "x.*")
 
 
+@query("ex09_edit_events", "select op, count(*) n from (select case event_type when 'error' then 'merge' when 'click' then 'move' else 'flag' end op from events) group by 1")
+def ex09(spark, d):
+    """Edit events written as a JSON log and read back with the event schema."""
+    p = _path(spark, "events")
+    op = F.when(F.col("event_type") == "error", "merge").when(F.col("event_type") == "click", "move").otherwise("flag")
+    S.append_json_lines(table(spark, d, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("event_id").cast("string").alias("node_id")), p)
+    return S.read_json_lines(spark, p, D.EVENT_SCHEMA).groupBy("op").agg(F.count("*").alias("n"))
+
+
 @query("gr09_adjudicate", """with a as (select prompt_hash, max(case when resp.ok then resp.json->>'$.action' end) p, min(case when resp.status = 200 and resp.fix_err is null then resp.json->>'$.action' end) s, max(resp.latency_ms) lp, min(resp.latency_ms) ls from llm_balance_log where prompt_hash is not null group by 1)
  select prompt_hash, case when p is null and s is null then 'both_failed' when s is null then 'primary_only' when p is null then 'secondary_only' when p = s then 'agree' when (lp - ls) / 1000.0 >= 0.10 then 'primary' else 'conservative' end decision from a""")
 def gr09(spark, d):

@@ -335,6 +335,13 @@ def gr08(spark, d):
     return G.vote_link(_votes(spark, d), labels, _tops(spark), 0.25).withColumn("ratio", F.round("ratio", 6))
 
 
+@query("st03_top_categories", _VOTE + """, c as (select n.n_nationkey node_id, t.id, coalesce(v.v, 0) s from nation n cross join (values ('A'), ('B'), ('C')) t(id) left join v on v.node_id = n.n_nationkey and v.l1 = t.id),
+ r as (select *, row_number() over (partition by node_id order by s desc, id) k from c) select node_id, id category, s::double score, cast(k as integer) as rank from r where k <= 2""")
+def st03(spark, d):
+    labels = table(spark, d, "nation").select(F.col("n_nationkey").alias("node_id"), F.lit("").alias("label"))
+    return G.top_categories(_votes(spark, d), labels, _tops(spark), 2).select("node_id", "category", F.col("score").cast("double").alias("score"), "rank")
+
+
 @query("ag05_mode_first_seen", "with c as (select o_custkey, o_orderpriority p, count(*) n, min(o_orderkey) f from orders group by all), r as (select *, row_number() over (partition by o_custkey order by n desc, f) k from c) select o_custkey, p from r where k = 1")
 def ag05(spark, d):
     c = table(spark, d, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("p")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("f"))

@@ -63,3 +63,19 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{args[0]}/v1").collect())) == [(1, "a"), (2, "c"), (3, "d")]
     events = spark.readStream.format("rate").load().selectExpr("timestamp", "cast(value % 2 as string) k")
     assert stream_counts(events, "timestamp", "k").isStreaming
+
+
+def test_places(tmp_path):
+    c = S.Catalog(str(tmp_path) + "/")
+    assert c.nodes("L3").endswith("/tree_nodes_L3") and c.links("L4", "L3").endswith("/tree_parent_links_L4_to_L3")
+    for name in ("a.json", "label_map.json", "b.txt"):
+        (tmp_path / name).write_text("{}")
+    assert c.trees() == [f"{tmp_path}/a.json"]
+
+
+def test_decision_settings():
+    from arborlake.operators import decisions as D
+
+    p = D.Profile(retries=4)
+    assert D.retry_delays(p, [500, 429, 503, 500]) == [1.0, 1.5, 2.25] and D.retry_delays(p, [400, 500]) == []
+    assert p.resolve({}, {"DECISION_RETRIES": "2"}).retries == 2 and p.resolve({"model": "m"}, {"DECISION_MODEL": "n"}).model == "m"
