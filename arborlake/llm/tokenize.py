@@ -15,6 +15,7 @@ import struct
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,6 +28,9 @@ TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 # Fixed value: the pattern that cuts texts before merges of the rank vocabulary.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Texts encoded in one go, which bounds a worker's memory.
+ROWS_AT_ONCE = 1_000
+
 #: Stands between pre-tokens; byte 0xFF never occurs in UTF-8.
 _SEP = 0xFF
 _SEP_CHAR = "\ue000"
@@ -91,11 +95,12 @@ class BytePairEncoder:
         self.cut = regex.compile(PRETOKEN)
         self.known: dict[str, array] = {}
 
-    def encode_batch(self, texts: Iterable[str | None]) -> list[list[int]]:
-        """Ids per text; a null or empty text has no ids. Whole texts, whatever their length.
+    def encode_flat(self, texts: Iterable[str | None]) -> tuple[array, array]:
+        """(offsets, ids of all texts in one run); a null or empty text has no ids. Whole texts,
+        whatever their length.
 
-        Pre-tokens recur far more often than texts, so each is encoded once per worker and looked
-        up from then on, as a compact array; the memory of pre-tokens starts anew at 200,000 of them.
+        Pre-tokens recur far more often than texts, so each is encoded once per worker and copied
+        from then on; the memory of pre-tokens starts anew at 200,000 of them.
         """
         cut = [self.cut.findall(t) if t else [] for t in texts]
         known = self.known
@@ -110,13 +115,17 @@ class BytePairEncoder:
                 if x == self.unknown:
                     known[some[k]] = array("i", ids[start:i])
                     start, k = i + 1, k + 1
-        out = []
+        flat, offsets = array("i"), array("i", [0])
         for ps in cut:
-            row: list[int] = []
             for p in ps:
-                row += known[p]
-            out.append(row)
-        return out
+                flat += known[p]
+            offsets.append(len(flat))
+        return offsets, flat
+
+    def encode_batch(self, texts: Iterable[str | None]) -> list[list[int]]:
+        """Ids per text."""
+        offsets, flat = self.encode_flat(texts)
+        return [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
 
     def decode(self, ids: Iterable[int]) -> str:
         pieces = "".join(self.model.id_to_piece(int(i)) for i in ids)
@@ -141,12 +150,14 @@ def encode_texts(df: DataFrame, key: str, text: str = "text", tokenizer: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BytePairEncoder(model.value)
         for batch in batches:
-            rows = coder.encode_batch(batch.column(1).to_pylist())
-            n = pa.array([len(r) for r in rows], pa.int64())
-            if ids:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), n], names=["_k", "ids", "n_tokens"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["_k", "n_tokens"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                offsets, flat = (np.frombuffer(x, np.int32) for x in coder.encode_flat(part.column(1).to_pylist()))
+                n = pa.array(np.diff(offsets).astype(np.int64))
+                if ids:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), n], names=["_k", "ids", "n_tokens"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), n], names=["_k", "n_tokens"])
 
     return keyed.mapInArrow(run, f"_k {kind}, " + ("ids array<int>, " if ids else "") + "n_tokens long").withColumnRenamed("_k", key)
 
