@@ -112,8 +112,6 @@ class VantageTree:
                 inner.append(near)
                 outer.append(near if halves else far)
                 children.append([0, 0])
-                if halves and d[at[-1]] <= near:  # all beyond are ties with the cut: no row can go far
-                    pass
                 todo.append((rows[at[half:]], me, 1))
                 todo.append((rows[at[:half]], me, 0))
             if parent >= 0:
