@@ -139,13 +139,6 @@ def vc14(spark, d):
     return j.select("id_a", "id_b", F.round(S.blend((F.col("sim") + 1) / 2, (F.col("la") == F.col("lb")).cast("double")), 5).alias("s"))
 
 
-def _labelled(spark, d):
-    """Vectors with a text label from the nodes, by id."""
-    w = Window.orderBy("node_id")
-    names = table(spark, d, "tree_nodes_l3").filter("label is not null").groupBy("node_id").agg(F.max("label").alias("text"))
-    return names, w
-
-
 @query("vc15_near_duplicates", KNN + " select id_a, id_b from n where id_a < id_b and (la = lb and sim >= 0.35 or sim >= 0.38)")
 def vc15(spark, d):
     """Quick check: overlap at one threshold or cosine at the other; here same label and cosine."""
