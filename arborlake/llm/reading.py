@@ -36,6 +36,8 @@ _MARKUP = regex.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|https?://\S+|<\|[^|\n]{1,
 _ITEM = regex.compile(r"^\s*([一二三四五六七八九十]{1,3}、|[(（][一二三四五六七八九十\d]{1,3}[)）]|\d{1,2}[.、)]\s)", regex.M)
 _CUT = "。！？；，：!?;,.:\n\x00"
 _FINAL = "。！？!?.;；"
+_CLOSING = "。，、；：！？,.;:!?)）》」”’"
+_HAN = regex.compile(r"\p{Han}")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,9 +64,48 @@ class Clauses:
     initial: np.ndarray  # whether a sentence mark, and no comma, stands before the clause
 
 
+def _flat_width(text: str) -> int:
+    """Width of a text that has a line break after every so many characters, whatever stands there,
+    at least twice; else 0."""
+    breaks = [i for i, x in enumerate(text) if x == "\n"]
+    for w in breaks:
+        if 2 * w + 1 >= len(text):
+            break
+        at = range(w, len(text), w + 1)
+        if w >= 20 and all(text[i] == "\n" for i in at) and any(text[i - 1] not in _FINAL for i in at):
+            return w
+    return 0
+
+
+def unwrap(text: str) -> str:
+    """Text with its hard-wrapped lines joined.
+
+    A line that ends no sentence goes on in the next one when that starts like a continuation (blank,
+    small letter, closing mark), when it ends in a blank or comma, or when it has the text's wrap width:
+    the next word would have made it longer than the longest line, and so for two lines at least.
+    """
+    if w := _flat_width(text):
+        return "".join(text[i : i + w] for i in range(0, len(text), w + 1))
+    lines = text.split("\n")
+    longest = max(map(len, lines))
+    open_ = [bool(a.strip() and b.strip()) and a.rstrip()[-1] not in _FINAL for a, b in zip(lines, lines[1:])]
+    full = [o and len(a) + (1 if _HAN.match(b) else 1 + len(b.split(None, 1)[0])) > longest >= 20 for o, a, b in zip(open_, lines, lines[1:])]
+    wrapped = sum(full) > 1
+    inside = wrapped and all(len(a) == longest for f, a in zip(full, lines) if f)  # cut within words
+    out = [lines[0]]
+    for o, f, a, b in zip(open_, full, lines, lines[1:]):
+        if not (o and (wrapped and f or a[-1].isspace() or a[-1] in ",，、" or b[0].isspace() or b[0].islower() or b[0] in _CLOSING)):
+            out += ["\n", b]
+        else:
+            bare = inside and f or a[-1].isspace() or b[0].isspace() or b[0] in _CLOSING or _HAN.match(a[-1] + b[0])
+            out += [b if bare else " " + b]
+    return "".join(out)
+
+
 def plain(text: str) -> str:
-    """Text without markup, list numbers and furniture lines (short lines that end no sentence)."""
-    t = _ITEM.sub("", _MARKUP.sub(" ", text))
+    """Text without markup, list numbers and furniture lines (short lines that end no sentence and are
+    no part of a wrapped paragraph)."""
+    t = _ITEM.sub("", _MARKUP.sub(" ", unwrap(text) if "\n" in text else text))
     if "\n" in t:
         lines = [x.strip() for x in t.split("\n")]
         kept = [x for x in lines if x and (x[-1] in _FINAL or len(x) > (30 if regex.search(r"\p{Han}", x) else 70))]

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -64,3 +65,22 @@ def test_isotonic():
 def test_clauses():
     c = R.clauses(["Go home, now. 停车场；关门。", "", "One"])
     assert c.doc.tolist() == [0, 0, 0, 0, 2] and c.initial.tolist() == [True, False, True, True, True]
+
+
+def test_wrapped_texts_are_whole():
+    en = "Build A Network\nRef. BRI/2029/0395-B\n" + "Support will be given to district offices that open regular services before September, and then progress was slow. " * 4
+    zh = "支持培训应用\n澹屏港函〔2033〕97号\n" + "小明把苹果放到车上，我喜欢篮子。姐姐和农民坐在桥头等车回家吃午饭。" * 5
+    for text, width in ((en, 70), (zh, 38), (zh, 25)):
+        flat = "\n".join(text[i : i + width] for i in range(0, len(text), width))
+        assert R.plain(flat) == R.plain(text) and len(R.plain(text)) > 0.8 * len(text)
+    body = " ".join(f"The council of place number {i} chose to move the parking area" for i in range(20)) + "."
+    assert R.plain("Build A Network\nRef. 12\n" + "\n".join(textwrap.wrap(body, 60))) == body
+    assert R.plain("Build A Network\nRef. 12\nBuses run.\n5 November 2034") == "Buses run."
+
+
+def test_wrapping_keeps_the_band(spark, tables):
+    ex, truth, docs = tables
+    wrap = [(i, "\n".join(t[k : k + 70] for k in range(0, len(t), 70))) for i, t, _ in docs]
+    got = {r.doc_id: r.reading_band for r in R.reading_bands(spark.createDataFrame(wrap, "doc_id long, text string"), ex).collect()}
+    plain = {r.doc_id: r.reading_band for r in R.reading_bands(spark.createDataFrame(docs, "doc_id long, text string, x string"), ex).collect()}
+    assert got == plain
