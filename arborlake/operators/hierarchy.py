@@ -37,9 +37,10 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None =
     become roots with implicit = true.
 
     Returns node, parent, root, depth, subtree_size, on_cycle, peel, implicit and, with_paths, path
-    (array root..node). A node on a circle or below one has depth -1, the circle's smallest id as
-    root and a null path; on_cycle tells the two apart. subtree_size counts the node itself and is
-    null in or above circles. peel is the round a node left in, null for the residual core.
+    (array root..node) and trunk. A node on a circle or below one has depth -1, the circle's smallest
+    id as root and a null path; on_cycle tells the two apart. trunk is the path, below a circle the
+    part of it that is off the circle, and empty on one. subtree_size counts the node itself and is
+    null on circles. peel is the round a node left in, null for the residual core.
 
     max_peels bounds the rounds of peeling (None: peel to the end); the core left over is resolved
     by segment doubling, with the same result. A parent with any number of children is fine: child
@@ -73,13 +74,11 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None =
         )
         active, seen = stage.save(rest, {"n": F.count(F.lit(1)), "leaves": F.count_if("leaf")})
 
-    solved = _core(stage, active, seen["n"], bool(seen["leaves"]))
-    cols = ["node", "parent", "implicit", "root", "depth", "on_cycle", "size", "peel"] + (["path"] if with_paths else [])
-    if not with_paths:
-        solved = solved.drop("path")
+    solved = _core(stage, active, seen["n"])
+    cols = ["node", "parent", "implicit", "root", "depth", "on_cycle", "size", "peel"] + (["trunk"] if with_paths else [])
     solved = solved.select(*cols)
     for k in range(len(layers) - 1, -1, -1):
-        up = solved.select(F.col("node").alias("_u"), F.col("root").alias("_r"), F.col("depth").alias("_d"), *([F.col("path").alias("_path")] if with_paths else []))
+        up = solved.select(F.col("node").alias("_u"), F.col("root").alias("_r"), F.col("depth").alias("_d"), *([F.col("trunk").alias("_trunk")] if with_paths else []))
         layer = layers[k].filter("leaf").drop("leaf", "kids")
         grown = skew_join(layer, up, "parent", "_u", hot, "node", "left")
         below = F.col("_d") == -1
@@ -88,16 +87,18 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None =
             F.coalesce("_r", "node").alias("root"),
             F.when(F.col("_u").isNull(), 0).when(below, -1).otherwise(F.col("_d") + 1).cast("int").alias("depth"),
             F.lit(False).alias("on_cycle"), "size", F.lit(k).alias("peel"),
-            *([F.when(F.col("_u").isNull(), F.array("node")).when(~below, F.concat("_path", F.array("node"))).alias("path")] if with_paths else []),
+            *([F.when(F.col("_u").isNull(), F.array("node")).otherwise(F.concat("_trunk", F.array("node"))).alias("trunk")] if with_paths else []),
         )
         if k:
             new = stage.save(new)
         solved = solved.unionByName(new)
+    if with_paths:
+        solved = solved.withColumn("path", F.when(F.col("depth") >= 0, F.col("trunk")))
     return solved.withColumnRenamed("size", "subtree_size")
 
 
-def _core(stage: Stage, active: DataFrame, n: int, bounded: bool) -> DataFrame:
-    """Root, depth and path of the residual core by doubling ancestor segments.
+def _core(stage: Stage, active: DataFrame, n: int) -> DataFrame:
+    """Root, depth, trunk and subtree size of the residual core by doubling ancestor segments.
 
     A segment starts [node, parent]; joining it with the segment of its last element doubles it.
     It is done when it ends in a root, or when its last element occurs earlier: that stretch is a
@@ -131,27 +132,33 @@ def _core(stage: Stage, active: DataFrame, n: int, bounded: bool) -> DataFrame:
     at = F.array_position("seg", last).cast("int")
     circle = F.slice("seg", at, F.greatest(F.size("seg") - at, F.lit(1)))
     rooted = F.col("state") == 1
-    return done.select(
-        "node", "parent", "implicit",
+    found = done.select(
+        "node", "parent", "implicit", "size",
         F.when(rooted, last).otherwise(F.array_min(circle)).alias("root"),
         F.when(rooted, F.size("seg") - 1).otherwise(-1).cast("int").alias("depth"),
         (~rooted & F.array_contains(circle, F.col("node"))).alias("on_cycle"),
-        # a bounded peel leaves sizes of the core unfinished; they come from descendants()
-        F.lit(None).cast("long").alias("size"),
         F.lit(None).cast("int").alias("peel"),
-        F.when(rooted, F.reverse("seg")).alias("path"),
+        F.when(rooted, F.reverse("seg")).otherwise(F.reverse(F.array_except("seg", circle))).alias("trunk"),
     )
+    if not n:
+        return found
+    # size so far counts what was peeled below a node; the sizes of the core below it complete it
+    whole = found.select(F.explode("trunk").alias("_a"), "size").groupBy("_a").agg(F.sum("size").alias("_s"))
+    return stage.save(found.join(whole, F.col("node") == F.col("_a"), "left").withColumn("size", F.col("_s")).drop("_a", "_s"))
 
 
-def descendants(tree: DataFrame) -> DataFrame:
+def descendants(tree: DataFrame, below_circles: bool = False) -> DataFrame:
     """(ancestor, node, distance) rows of every node below every other: the descendant lists, one
     row per entry so that a root over a third of all nodes is no single huge row.
 
-    tree: node and path of hierarchy(). Nodes on or below circles have no path and no rows.
+    tree: node, path and trunk of hierarchy(). Nodes on or below circles have no path and no rows; with
+    below_circles, nodes below a circle are ancestors as well (those on one, each below all others,
+    still are not).
     """
+    path = "trunk" if below_circles else "path"
     return (
-        tree.filter("path is not null").select("node", "depth", F.posexplode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("pos", "ancestor"))
-        .select("ancestor", "node", (F.col("depth") - F.col("pos")).alias("distance"))
+        tree.filter(F.col(path).isNotNull()).select("node", F.size(path).alias("_n"), F.posexplode(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).alias("pos", "ancestor"))
+        .select("ancestor", "node", (F.col("_n") - 1 - F.col("pos")).alias("distance"))
     )
 
 

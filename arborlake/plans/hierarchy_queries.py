@@ -53,8 +53,9 @@ select a ancestor_id, count(*) n_descendants, min(node) first_descendant, cast(m
 from (select node, unnest(path[2:]) a, unnest(range(1, len(path))) dist from solved where met = len(path))
 group by a""")
 def p6_descendants(spark, d):
-    """Number of descendants, height and smallest descendant per node with any."""
-    return descendants(hierarchy(_links(spark, d))).groupBy(F.col("ancestor").alias("ancestor_id")).agg(
+    """Number of descendants, height and smallest descendant per node with any, nodes below circles
+    included. The SQL leaves those out."""
+    return descendants(hierarchy(_links(spark, d)), below_circles=True).groupBy(F.col("ancestor").alias("ancestor_id")).agg(
         F.count("*").alias("n_descendants"), F.min("node").alias("first_descendant"), F.max("distance").cast("int").alias("height")
     )
 

@@ -71,3 +71,19 @@ def test_hot_parent_is_salted(spark, monkeypatch):
     depth = {r.node: r.depth for r in tree.collect()}
     assert depth["top"] == 0 and depth["hub"] == 1 and depth["x"] == 3 and all(depth[f"c{i}"] == 2 for i in range(300))
     assert tree.filter(F.col("node") == "hub").first().subtree_size in (None, 302)
+
+
+@pytest.mark.parametrize("peels", [0, 1, 8])
+def test_nodes_below_circles_have_descendants_and_the_core_sizes(spark, peels):
+    parent = {"a": "b", "b": "c", "c": "a", "self": "self", "s1": "self", "r": None} | {f"d{i}": f"d{i - 1}" if i else "b" for i in range(5)} | {"e": "d1"} | {f"t{i}": f"t{i - 1}" if i else "r" for i in range(12)}
+    up = {}
+    for n in parent:
+        up[n], x = [], parent[n]
+        while x and x not in ("a", "b", "c", "self"):
+            up[n].append(x)
+            x = parent[x]
+    want = {(a, n, k + 1) for n in parent if n not in ("a", "b", "c", "self") for k, a in enumerate(up[n])}
+    tree = hierarchy(spark.createDataFrame(list(parent.items()), "node string, parent string"), max_peels=peels)
+    assert {tuple(r) for r in descendants(tree, below_circles=True).collect()} == want
+    sizes = {n: None if n in ("a", "b", "c", "self") else 1 + sum(a == n for a, _, _ in want) for n in parent}
+    assert {r.node: r.subtree_size for r in tree.collect()} == sizes
