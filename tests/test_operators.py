@@ -168,3 +168,12 @@ def test_hot_keys_give_the_same_results(spark, monkeypatch):
     table = {x.node_id: x for x in R.tree_table(tr).collect()}
     assert len(table) == 42 and all(table[f"n{i}"].path_labels == ["", "A", f"N{i}"] and table[f"n{i}"].sibling_count == 39 for i in range(40))
     assert R.level_jumps(tr).count() == 40
+
+
+def test_child_labels_keep_large_parents(spark):
+    from arborlake.plans.similarity_queries import child_labels
+
+    rows = [("big", f"c{i}", f"l{i:03}") for i in range(250)] + [("small", "a", "y"), ("small", "b", "x"), (None, "c", "z")]
+    got = {(r.parent_id, r.chunk): r.labels.split("|") for r in child_labels(spark.createDataFrame(rows, "parent_id string, child_id string, label string"), 100).collect()}
+    assert sum((got["big", i] for i in range(3)), []) == [f"l{i:03}" for i in range(250)] and [len(got["big", i]) for i in range(3)] == [100, 100, 50]
+    assert got["small", 0] == ["x", "y"] and got[None, 0] == ["z"] and len(got) == 5
