@@ -183,21 +183,30 @@ def fan_out(tree: DataFrame, limit: int = 7) -> DataFrame:
 
 def flatten_depth(tree: DataFrame, max_depth: int = 4, max_children: int = 3, rounds: int = 10) -> DataFrame:
     """TR-14: inner nodes at max_depth or deeper with few children hand them to their grandparent and
-    go, deepest first, until none is left or the rounds are over."""
+    go, at every depth in one round, until none is left or the rounds are over.
+
+    A round equals a pass over all nodes, parents before children: a node is judged before its own
+    children go, and lifting never takes a node from max_depth or deeper to above it, so depths are
+    needed once. Chains of nodes that go are chased to the nearest ancestor that stays.
+    """
+    from arborlake.operators.lineage import chase
+
     stage = Stage(tree.sparkSession, "flatten")
-    tree = stage.save(tree)
+    p = hierarchy(tree.select(F.col("node_id").alias("node"), F.col("parent_id").alias("parent")), with_paths=False)
+    deep = p.filter(F.col("depth") >= max_depth).select(F.col("node").alias("_n"))
+    now = stage.save(tree.join(deep, F.col("node_id") == F.col("_n"), "left").withColumn("_deep", F.col("_n").isNotNull()).drop("_n"))
     for _ in range(rounds):
-        p = _paths_with_node(tree).select(F.col("node").alias("_n"), "depth")
-        kids = tree.filter("parent_id is not null").groupBy(F.col("parent_id").alias("_p")).agg(F.count("*").alias("_k"))
-        hit = tree.join(p, F.col("node_id") == F.col("_n")).join(kids, F.col("node_id") == F.col("_p")).filter((F.col("depth") >= max_depth) & (F.col("_k") <= max_children)).select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), "depth")
-        # only one depth at a time, so that a lifted child sees its new parent in the next round
-        hit, seen = stage.save(hit, {"top": F.min("depth")})
-        if seen["top"] is None:
+        kids = now.filter("parent_id is not null").groupBy(F.col("parent_id").alias("_p")).agg(F.count("*").alias("_k")).filter(F.col("_k") <= max_children)
+        hit = now.filter("_deep").join(kids, F.col("node_id") == F.col("_p")).select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
+        hit, seen = stage.save(hit, {"n": F.count(F.lit(1))})
+        if not seen["n"]:
             break
-        now = hit.filter(F.col("depth") == seen["top"])
-        moved = tree.join(now.select("src", "dst"), F.col("parent_id") == F.col("src"), "left").withColumn("parent_id", F.coalesce("dst", "parent_id")).drop("src", "dst")
-        tree = stage.save(moved.join(now.select(F.col("src").alias("node_id")), "node_id", "left_anti"))
-    return tree
+        ends = chase(hit).withColumnRenamed("src", "_src")
+        kept = now.join(hit.select(F.col("src").alias("node_id")), "node_id", "left_anti")
+        moved = skew_join(kept, ends, "parent_id", "_src", find_hot(kept, "parent_id"), "node_id", "left").withColumn("parent_id", F.coalesce("dst", "parent_id"))
+        before, now = now, stage.save(moved.select(*now.columns))
+        stage.drop(before, hit)
+    return now.drop("_deep")
 
 
 def relevel(tree: DataFrame, root: str = "ROOT") -> DataFrame:

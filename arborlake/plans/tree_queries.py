@@ -143,7 +143,7 @@ def link_tree(spark, d):
 
 @query("tr14_flatten_depth")
 def tr14(spark, d):
-    return R.flatten_depth(link_tree(spark, d), rounds=2).select("node_id", "parent_id")
+    return R.flatten_depth(link_tree(spark, d)).select("node_id", "parent_id")
 
 
 @query("tr15_insert_bridges", TREE + """, b as (select 'R0_BR_' || substr(md5('R0_half_BR'), 1, 6) id)

@@ -170,6 +170,28 @@ def test_hot_keys_give_the_same_results(spark, monkeypatch):
     assert R.level_jumps(tr).count() == 40
 
 
+def test_flatten_depth_takes_all_depths_of_a_pass(spark):
+    parent = {"r": None} | {f"n{i}": f"n{i - 1}" if i else "r" for i in range(30)} | {f"w{i}": "n29" for i in range(5)}
+    parent |= {"x": "n9", "y": "n19", "z": "w0", "zz": "z"}
+
+    def depth(t, n):
+        return 0 if t[n] is None else 1 + depth(t, t[n])
+
+    want = dict(parent)
+    for _ in range(10):  # the reference's passes, parents first
+        changed = False
+        for n in list(want):
+            kids = [c for c, p in want.items() if p == n]
+            if want.get(n) and kids and len(kids) <= 3 and depth(want, n) >= 4:
+                want |= {c: want[n] for c in kids}
+                del want[n]
+                changed = True
+        if not changed:
+            break
+    t = spark.createDataFrame([(n, "", "L1", p, 0) for n, p in parent.items()], "node_id string, label string, level string, parent_id string, ord long")
+    assert {r.node_id: r.parent_id for r in R.flatten_depth(t).collect()} == want
+
+
 def test_child_labels_keep_large_parents(spark):
     from arborlake.plans.similarity_queries import child_labels
 
