@@ -199,3 +199,10 @@ def test_child_labels_keep_large_parents(spark):
     got = {(r.parent_id, r.chunk): r.labels.split("|") for r in child_labels(spark.createDataFrame(rows, "parent_id string, child_id string, label string"), 100).collect()}
     assert sum((got["big", i] for i in range(3)), []) == [f"l{i:03}" for i in range(250)] and [len(got["big", i]) for i in range(3)] == [100, 100, 50]
     assert got["small", 0] == ["x", "y"] and got[None, 0] == ["z"] and len(got) == 5
+
+
+def test_wn13_compares_with_the_next_49(spark, tmp_path):
+    from arborlake.plans.ordered_queries import wn13
+
+    spark.createDataFrame([(i, "s", "x") for i in range(60)], "doc_id long, source string, issuer_id string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in wn13(spark, str(tmp_path)).collect()} == {(i, j) for i in range(60) for j in range(i + 1, min(i + 50, 60))}
