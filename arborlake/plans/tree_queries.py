@@ -7,6 +7,7 @@ from arborlake.operators import checks as C
 from arborlake.operators import lineage as L
 from arborlake.operators import tree as R
 from arborlake.operators.hierarchy import newest_links
+from arborlake.operators.ranking import sliding_pairs
 from arborlake.plans import query
 from arborlake.plans.hierarchy_queries import _CLIMB
 from arborlake.runtime import Stage, table
@@ -177,12 +178,15 @@ def jn10(spark, d):
 
 @query("jn11_same_level_band", TREE + ", o as (select node_id, parent_id, level, row_number() over (partition by level order by ord, node_id) r from t where level in ('L1', 'L2')) select a.node_id id_a, b.node_id id_b from o a join o b on a.level = b.level and b.r between a.r + 1 and a.r + 49 and a.parent_id <> b.parent_id")
 def jn11(spark, d):
-    from pyspark.sql import Window
+    """Nodes of L2 and L3 with the next 49 of their level, where the parents differ. The SQL has L1 and
+    L2 only; nodes of L1 have one parent and give no pairs."""
+    return cross_parent_pairs(tree(spark, d), 49)
 
-    w = Window.partitionBy("level").orderBy("ord", "node_id")
-    o = tree(spark, d).filter("level in ('L1', 'L2')").select("node_id", "parent_id", "level", F.row_number().over(w).alias("r"))
-    b = o.select(F.col("node_id").alias("id_b"), F.col("parent_id").alias("pb"), F.col("level").alias("lb"), F.col("r").alias("rb"))
-    return o.join(b, (F.col("level") == F.col("lb")) & F.col("rb").between(F.col("r") + 1, F.col("r") + 49) & (F.col("parent_id") != F.col("pb"))).select(F.col("node_id").alias("id_a"), "id_b")
+
+def cross_parent_pairs(t, band):
+    rows = t.filter("level in ('L2', 'L3')").select("level", "ord", "node_id", F.struct("node_id", "parent_id").alias("x"))
+    pairs = sliding_pairs(rows, ["level"], [F.col("ord"), F.col("node_id")], "x", band)
+    return pairs.filter("id_a.parent_id <> id_b.parent_id").select(F.col("id_a.node_id").alias("id_a"), F.col("id_b.node_id").alias("id_b"))
 
 
 @query("jn09_relatives", TREE + " select node_id, parent_id, children_count, sibling_count from tt")

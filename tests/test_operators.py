@@ -206,3 +206,11 @@ def test_wn13_compares_with_the_next_49(spark, tmp_path):
 
     spark.createDataFrame([(i, "s", "x") for i in range(60)], "doc_id long, source string, issuer_id string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in wn13(spark, str(tmp_path)).collect()} == {(i, j) for i in range(60) for j in range(i + 1, min(i + 50, 60))}
+
+
+def test_cross_parent_pairs_take_l2_and_l3(spark):
+    from arborlake.plans.tree_queries import cross_parent_pairs
+
+    rows = [(f"{level}{i:03}", level, f"p{i % 3}", i) for level in ("L1", "L2", "L3", "L4") for i in range(70)]
+    got = {tuple(r) for r in cross_parent_pairs(spark.createDataFrame(rows, "node_id string, level string, parent_id string, ord long"), 49).collect()}
+    assert got == {(f"{level}{i:03}", f"{level}{j:03}") for level in ("L2", "L3") for i in range(70) for j in range(i + 1, min(i + 50, 70)) if (j - i) % 3}
