@@ -2,10 +2,10 @@
 
 Method: bottom-up leaf peeling. Each round takes the nodes without unpeeled children off the
 active set and sends their subtree sizes to their parents; the reverse order of peeling then hands
-root, depth and path down. What peeling cannot remove (circles and whatever hangs above them, or
-very long chains when the number of rounds is bounded) is the residual core; its ancestor segments
-are doubled until they reach a root or meet themselves, so a chain of length d costs log2(d) rounds
-and not d.
+root, depth and path down. What is left when a round takes off little (circles and tall trees) is the
+residual core. Its nodes keep one pointer each, to the ancestor 2^k links up, with the smallest id
+and the subtree size met on the way: rows of constant size, and a chain of length d costs log2(d)
+rounds. Nodes whose pointer never leaves the core lie on circles or below them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,12 @@ def newest_links(*tables: DataFrame, child: str = "child_id", parent: str = "par
     return picked.filter("node is not null").groupBy("node").agg(F.max_by("parent", F.struct("at", "parent")).alias("parent"))
 
 
-def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None = 8) -> DataFrame:
+#: A round of peeling must take off this share of what is left; so all rounds together cost a multiple
+#: of the first, and tall trees go to the core, where a round doubles what is known.
+LEAST_PEELED = 1 / 8
+
+
+def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None = None, least_peeled: float = LEAST_PEELED) -> DataFrame:
     """Full hierarchy of (node, parent) rows, one row per node.
 
     links: node (unique, non-null), parent (null for a root). Parents without a row of their own
@@ -40,11 +45,13 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None =
     (array root..node) and trunk. A node on a circle or below one has depth -1, the circle's smallest
     id as root and a null path; on_cycle tells the two apart. trunk is the path, below a circle the
     part of it that is off the circle, and empty on one. subtree_size counts the node itself and is
-    null on circles. peel is the round a node left in, null for the residual core.
+    null on circles only. peel is the round a node left in, null for the residual core.
 
-    max_peels bounds the rounds of peeling (None: peel to the end); the core left over is resolved
-    by segment doubling, with the same result. A parent with any number of children is fine: child
-    statistics pre-aggregate, and joins on hot parents are salted. An empty table gives an empty one.
+    Peeling goes on while a round takes off least_peeled of the nodes left (0: to the end), for
+    max_peels rounds at most; the core left over is resolved by pointer doubling, with the same
+    result in all columns but peel. A parent with any number of
+    children is fine: child statistics pre-aggregate, and joins on hot parents are salted. An empty
+    table gives an empty one.
     """
     spark = links.sparkSession
     stage = Stage(spark, "hierarchy")
@@ -64,7 +71,7 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None =
     hot = hot_keys(active.filter("kids is not null").select("node", "kids"), "node", "kids", seen["n"] or 0)
 
     layers: list[DataFrame] = []
-    while seen["leaves"] and (max_peels is None or len(layers) < max_peels):
+    while seen["leaves"] and seen["leaves"] >= least_peeled * seen["n"] and (max_peels is None or len(layers) < max_peels):
         layers.append(active)  # its leaves are this round's layer
         stats = active.filter("parent is not null").groupBy(F.col("parent").alias("_p")).agg(
             F.count_if(~F.col("leaf")).alias("_open"), F.sum(F.when(F.col("leaf"), F.col("size"))).alias("_add")
@@ -74,7 +81,7 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None =
         )
         active, seen = stage.save(rest, {"n": F.count(F.lit(1)), "leaves": F.count_if("leaf")})
 
-    solved = _core(stage, active, seen["n"])
+    solved = _core(stage, active, seen["n"], with_paths)
     cols = ["node", "parent", "implicit", "root", "depth", "on_cycle", "size", "peel"] + (["trunk"] if with_paths else [])
     solved = solved.select(*cols)
     for k in range(len(layers) - 1, -1, -1):
@@ -97,54 +104,77 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_peels: int | None =
     return solved.withColumnRenamed("size", "subtree_size")
 
 
-def _core(stage: Stage, active: DataFrame, n: int) -> DataFrame:
-    """Root, depth, trunk and subtree size of the residual core by doubling ancestor segments.
+def _core(stage: Stage, active: DataFrame, n: int, with_paths: bool) -> DataFrame:
+    """Root, depth, trunk and subtree size of the residual core by pointer doubling.
 
-    A segment starts [node, parent]; joining it with the segment of its last element doubles it.
-    It is done when it ends in a root, or when its last element occurs earlier: that stretch is a
-    circle. Only open segments join, against all segments of the core.
+    After k rounds a node's up is its ancestor 2^k links above (null past a root), top the highest
+    ancestor met, dist the links to it, low the smallest id of the node and those below up, and size
+    the sum over its descendants nearer than 2^k. A rooted node still open has an ancestor that the
+    next round closes; so when a round closes none, the open nodes hang on circles, and once 2^k
+    reaches their number every up is on its circle and low has seen all of it.
     """
-    first = active.select(
-        "node", "parent", "implicit", "size",
-        F.when(F.col("parent").isNull(), F.array("node")).otherwise(F.array("node", "parent")).alias("seg"),
-        F.when(F.col("parent").isNull(), 1).when(F.col("parent") == F.col("node"), 2).otherwise(0).alias("state"),
+    start = active.select(
+        "node", "parent", "implicit", "size", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("top"),
+        F.col("parent").isNotNull().cast("int").alias("dist"), F.col("node").alias("low"),
     )
+    cols = ["node", "parent", "implicit", "size", "root", "depth", "on_cycle", "peel", "trunk"]
     if not n:
-        done = first
-    else:
-        state, seen = stage.save(first, {"open": F.count_if(F.col("state") == 0)})
-        while seen["open"]:
-            opened = state.filter("state = 0").withColumn("_last", F.element_at("seg", -1))
-            other = state.select(F.col("node").alias("_o"), F.col("seg").alias("_seg"), F.col("state").alias("_state"))
-            counts = opened.groupBy("_last").agg(F.count("*").alias("_n"))
-            hot = hot_keys(counts, "_last", "_n", seen["open"])
-            joined = skew_join(opened, other, "_last", "_o", hot, "node").withColumn("seg", F.concat("seg", F.slice("_seg", 2, F.greatest(F.size("_seg") - 1, F.lit(0)))))
-            met = F.array_position("seg", F.element_at("seg", -1)) < F.size("seg")
-            step = joined.select(
-                "node", "parent", "implicit", "size", "seg",
-                F.when(F.col("_state") == 1, 1).when((F.col("_state") == 2) | met, 2).otherwise(0).alias("state"),
-            )
-            before = state
-            state, seen = stage.save(state.filter("state <> 0").unionByName(step), {"open": F.count_if(F.col("state") == 0)})
-            stage.drop(before)
-        done = state
-    last = F.element_at("seg", -1)
-    at = F.array_position("seg", last).cast("int")
-    circle = F.slice("seg", at, F.greatest(F.size("seg") - at, F.lit(1)))
-    rooted = F.col("state") == 1
-    found = done.select(
-        "node", "parent", "implicit", "size",
-        F.when(rooted, last).otherwise(F.array_min(circle)).alias("root"),
-        F.when(rooted, F.size("seg") - 1).otherwise(-1).cast("int").alias("depth"),
-        (~rooted & F.array_contains(circle, F.col("node"))).alias("on_cycle"),
-        F.lit(None).cast("int").alias("peel"),
-        F.when(rooted, F.reverse("seg")).otherwise(F.reverse(F.array_except("seg", circle))).alias("trunk"),
+        empty = start.withColumns({"root": F.col("top"), "depth": F.col("dist"), "on_cycle": F.lit(False), "peel": F.lit(None).cast("int"), "trunk": F.array("node")})
+        return empty.select(*cols)
+    is_open = {"open": F.count_if(F.col("up").isNotNull())}
+    state, seen = stage.save(start, is_open)
+    open_, width, closing = seen["open"], 1, True
+
+    def below(t: DataFrame) -> tuple[DataFrame, dict]:
+        counts = t.filter("up is not null").groupBy(F.col("up").alias("_a")).agg(F.sum("size").alias("_s"), F.count("*").alias("_n"))
+        return counts, hot_keys(counts, "_a", "_n", open_)
+
+    while open_ and (closing or width < open_):
+        sums, hot = below(state)
+        ahead = state.select(F.col("node").alias("_o"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("dist").alias("_dist"), F.col("low").alias("_low"))
+        grown = state.join(sums, F.col("node") == F.col("_a"), "left").withColumn("size", F.col("size") + F.coalesce("_s", F.lit(0))).drop("_a", "_s", "_n")
+        step = skew_join(grown, ahead, "up", "_o", hot, "node", "left").select(
+            "node", "parent", "implicit", "size", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"),
+            (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.least("low", "_low").alias("low"),
+        )
+        before = state
+        state, seen = stage.save(step, is_open)
+        stage.drop(before)
+        closing, open_, width = seen["open"] < open_, seen["open"], 2 * width
+
+    sums, hot = below(state)
+    on = sums.select(F.col("_a").alias("_c"))
+    circle = state.select(F.col("node").alias("_o"), F.col("low").alias("_low"))
+    marked = skew_join(state, circle, "up", "_o", hot, "node", "left").join(on, F.col("node") == F.col("_c"), "left")
+    hung, round_ = F.col("up").isNotNull(), F.col("_c").isNotNull()
+    found = marked.select(
+        "node", "parent", "implicit", F.when(~round_, F.col("size")).alias("size"),
+        F.when(hung, F.col("_low")).otherwise(F.col("top")).alias("root"), F.when(hung, -1).otherwise(F.col("dist")).cast("int").alias("depth"),
+        round_.alias("on_cycle"), F.lit(None).cast("int").alias("peel"),
     )
-    if not n:
-        return found
-    # size so far counts what was peeled below a node; the sizes of the core below it complete it
-    whole = found.select(F.explode("trunk").alias("_a"), "size").groupBy("_a").agg(F.sum("size").alias("_s"))
-    return stage.save(found.join(whole, F.col("node") == F.col("_a"), "left").withColumn("size", F.col("_s")).drop("_a", "_s"))
+    found, _ = stage.save(found, {"n": F.count(F.lit(1))})
+    if not with_paths:
+        return found.withColumn("trunk", F.array("node")).select(*cols)
+    return found.join(_trunks(stage, found), F.col("node") == F.col("_t"), "left").withColumn("trunk", F.coalesce("trunk", F.array().cast("array<string>"))).select(*cols)
+
+
+def _trunks(stage: Stage, found: DataFrame) -> DataFrame:
+    """(_t, trunk) of the nodes off circles: segments of the path, doubled until they end. The rows
+    are as long as the paths that come out; circles, which would go round, have no part in it."""
+    off = found.filter("not on_cycle").select(F.col("node").alias("_t"), F.col("parent").alias("_p"))
+    inner = off.select(F.col("_t").alias("_q"))
+    start = off.join(inner, F.col("_p") == F.col("_q"), "left").select("_t", F.col("_q").alias("_up"), F.array("_t").alias("trunk"))
+    is_open = {"open": F.count_if(F.col("_up").isNotNull())}
+    state, seen = stage.save(start, is_open)
+    while seen["open"]:
+        opened = state.filter("_up is not null")
+        counts = opened.groupBy("_up").agg(F.count("*").alias("_n"))
+        ahead = state.select(F.col("_t").alias("_o"), F.col("_up").alias("_next"), F.col("trunk").alias("_above"))
+        step = skew_join(opened, ahead, "_up", "_o", hot_keys(counts, "_up", "_n", seen["open"]), "_t").select("_t", F.col("_next").alias("_up"), F.concat("_above", "trunk").alias("trunk"))
+        before = state
+        state, seen = stage.save(state.filter("_up is null").unionByName(step), is_open)
+        stage.drop(before)
+    return state.select("_t", "trunk")
 
 
 def descendants(tree: DataFrame, below_circles: bool = False) -> DataFrame:
@@ -160,9 +190,3 @@ def descendants(tree: DataFrame, below_circles: bool = False) -> DataFrame:
         tree.filter(F.col(path).isNotNull()).select("node", F.size(path).alias("_n"), F.posexplode(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).alias("pos", "ancestor"))
         .select("ancestor", "node", (F.col("_n") - 1 - F.col("pos")).alias("distance"))
     )
-
-
-def subtree_sizes(tree: DataFrame) -> DataFrame:
-    """Exact subtree size of every node with a path, the residual core included."""
-    below = descendants(tree).groupBy(F.col("ancestor").alias("_a")).agg(F.count("*").alias("_n"))
-    return tree.filter("path is not null").select("node").join(below, F.col("node") == F.col("_a"), "left").select("node", (F.coalesce("_n", F.lit(0)) + 1).alias("subtree_size"))

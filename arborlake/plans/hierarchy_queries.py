@@ -48,18 +48,30 @@ def p6_paths(spark, d):
     )
 
 
-@query("p6_descendants", _CLIMB + """
+_ABOVE = """, above as (select node, path[2:case when met < len(path) then met - 1 else len(path) end] up, met from solved),
+below as (select node, unnest(up) a, unnest(range(1, len(up) + 1)) dist from above)"""
+
+
+@query("p6_descendants", _CLIMB + _ABOVE + """
 select a ancestor_id, count(*) n_descendants, min(node) first_descendant, cast(max(dist) as integer) height
-from (select node, unnest(path[2:]) a, unnest(range(1, len(path))) dist from solved where met = len(path))
-group by a""")
+from below group by a""")
 def p6_descendants(spark, d):
     """Number of descendants, height and smallest descendant per node with any, nodes below circles
-    included. The SQL leaves those out."""
+    included; nodes on a circle, each below all others, are told by p6_circles."""
     return descendants(hierarchy(_links(spark, d)), below_circles=True).groupBy(F.col("ancestor").alias("ancestor_id")).agg(
         F.count("*").alias("n_descendants"), F.min("node").alias("first_descendant"), F.max("distance").cast("int").alias("height")
     )
 
 
+@query("p6_sizes", _CLIMB + _ABOVE + """
+, n_below as (select a, count(*) k from below group by a)
+select node node_id, case when met > 1 or len(path) = 1 then 1 + coalesce(k, 0) end subtree_size
+from (select node, path, met from solved) left join n_below on a = node""")
+def p6_sizes(spark, d):
+    """Subtree size, the node included, of every child; null on circles."""
+    return hierarchy(_links(spark, d), with_paths=False).filter("not implicit").select(F.col("node").alias("node_id"), "subtree_size")
+
+
 @query("p6_circles", _CLIMB + """
 select list_min(path[met:len(path) - 1]) circle_id, count(*) n_nodes, count(*) filter (list_contains(path[met:len(path) - 1], node)) n_on_circle
 from solved where met < len(path) group by 1""")

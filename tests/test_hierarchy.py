@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators.hierarchy import descendants, hierarchy, newest_links, subtree_sizes
+from arborlake.operators.hierarchy import descendants, hierarchy, newest_links
 
 LINK = "child_id string, parent_id string, loaded_at timestamp, node string, parent string, _n int"
 
@@ -36,14 +36,14 @@ def test_random_forests_with_circles(spark, seed, peels):
         parent[ids[i]] = ids[i + 1]
     parent[ids[119]] = None
     links = newest_links(spark.createDataFrame(rows(parent.items()), LINK))
-    tree = hierarchy(links, max_peels=peels)
+    tree = hierarchy(links, max_peels=peels, least_peeled=0)
     got = {r.node: (r.root, r.depth) for r in tree.filter("not implicit").collect()}
     assert got == brute(parent)
     for r in tree.filter("path is not null").collect():
         assert r.path[0] == r.root and r.path[-1] == r.node and len(r.path) == r.depth + 1
     below = {(r.ancestor, r.node) for r in descendants(tree).collect()}
     assert len(below) == sum(d for _, d in got.values() if d > 0)
-    sizes = {r.node: r.subtree_size for r in subtree_sizes(tree).collect()}
+    sizes = {r.node: r.subtree_size for r in tree.collect()}
     for n in got:
         if got[n][1] >= 0:
             assert sizes[n] == 1 + sum(a == n for a, _ in below)
@@ -70,7 +70,7 @@ def test_hot_parent_is_salted(spark, monkeypatch):
     tree = hierarchy(spark.createDataFrame(pairs, "node string, parent string"))
     depth = {r.node: r.depth for r in tree.collect()}
     assert depth["top"] == 0 and depth["hub"] == 1 and depth["x"] == 3 and all(depth[f"c{i}"] == 2 for i in range(300))
-    assert tree.filter(F.col("node") == "hub").first().subtree_size in (None, 302)
+    assert tree.filter(F.col("node") == "hub").first().subtree_size == 302
 
 
 @pytest.mark.parametrize("peels", [0, 1, 8])
@@ -83,7 +83,17 @@ def test_nodes_below_circles_have_descendants_and_the_core_sizes(spark, peels):
             up[n].append(x)
             x = parent[x]
     want = {(a, n, k + 1) for n in parent if n not in ("a", "b", "c", "self") for k, a in enumerate(up[n])}
-    tree = hierarchy(spark.createDataFrame(list(parent.items()), "node string, parent string"), max_peels=peels)
+    tree = hierarchy(spark.createDataFrame(list(parent.items()), "node string, parent string"), max_peels=peels, least_peeled=0)
     assert {tuple(r) for r in descendants(tree, below_circles=True).collect()} == want
     sizes = {n: None if n in ("a", "b", "c", "self") else 1 + sum(a == n for a, _, _ in want) for n in parent}
     assert {r.node: r.subtree_size for r in tree.collect()} == sizes
+
+
+def test_long_circles_and_chains_cost_rows_of_constant_size(spark):
+    n = 100_000
+    ids = spark.range(n).select(F.format_string("c%06d", "id").alias("node"), F.format_string("c%06d", (F.col("id") + 1) % n).alias("parent"))
+    chain = spark.range(n).select(F.format_string("d%06d", "id").alias("node"), F.when(F.col("id") > 0, F.format_string("d%06d", F.col("id") - 1)).alias("parent"))
+    tail = spark.range(30).select(F.format_string("t%02d", "id").alias("node"), F.when(F.col("id") == 0, "c000500").otherwise(F.format_string("t%02d", F.col("id") - 1)).alias("parent"))
+    tree = hierarchy(ids.unionByName(chain).unionByName(tail), with_paths=False)
+    got = tree.groupBy(F.substring("node", 1, 1).alias("k"), "root", "on_cycle").agg(F.count("*").alias("n"), F.min("depth").alias("low"), F.max("depth").alias("high"), F.sum("subtree_size").alias("s")).collect()
+    assert {tuple(r) for r in got} == {("c", "c000000", True, n, -1, -1, None), ("d", "d000000", False, n, 0, n - 1, n * (n + 1) // 2), ("t", "c000000", False, 30, -1, -1, 465)}
