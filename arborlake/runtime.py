@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A join key is hot when it holds more rows than this, and more than 1/500 of its table.
 HOT_MIN_ROWS = 200_000
 HOT_FRACTION = 500
+#: Rows a table may have to be broadcast by bounded(): some megabytes, whatever the data.
+BROADCAST_ROWS = 20_000
 
 
 def session(app: str = "arborlake", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -30,10 +32,18 @@ def session(app: str = "arborlake", cores: int | str = "*", partitions: int = 8)
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in
+    local mode only; a cluster's executors would not see it, so that is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="arborlake-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
@@ -118,13 +128,17 @@ def find_hot(df: DataFrame, key: str) -> dict:
     return hot_keys(counts, key, "_c", total) if (most or 0) > HOT_MIN_ROWS else {}
 
 
-def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: dict, salt_on: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: dict, salt_on: str, how: str = "inner", right_rows: int | None = None) -> DataFrame:
     """left joined to right (unique by right_key); rows of hot keys are spread over salts.
 
     Plain equi-join when nothing is hot. Otherwise left rows of a hot key take a salt from the hash
-    of salt_on and the matching right row is repeated once per salt (at most 500 keys).
+    of salt_on and the matching right row is repeated once per salt (at most 500 keys). right_rows,
+    where it is known, decides whether right is broadcast (bounded()).
     """
-    if not hot:
+    small = right_rows is not None and right_rows <= BROADCAST_ROWS
+    if right_rows is not None and (small or not hot):
+        right = bounded(right, right_rows)
+    if not hot or small:
         return left.join(right, F.col(left_key) == F.col(right_key), how)
     spark = left.sparkSession
     table = F.broadcast(spark.createDataFrame([(k, v) for k, v in hot.items()], "_hk string, _hn int"))
@@ -137,6 +151,12 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return salted.join(spread, (F.col(left_key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt_r")), how).drop("_salt", "_salt_r")
 
 
+def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, known to have so many rows, as a join side: broadcast up to the limit, merged beyond it, so
+    that what is broadcast does not grow with the data."""
+    return F.broadcast(df) if rows <= limit else df.hint("merge")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over three tasks a core at least, for work that is heavy per row and small in bytes: sizes
     alone would put such rows into a few partitions."""
