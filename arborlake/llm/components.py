@@ -43,12 +43,12 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     """
     stage = Stage(pairs.sparkSession, "components")
     edges, seen = stage.save(_keyed(pairs), {"n": F.count(F.lit(1))})
-    rounds: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, int]] = []
     while seen["n"]:
         total = seen["n"]
         edge = F.struct("w", "u", "v")
         ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("c"), edge.alias("e")), F.struct(F.col("v").alias("c"), edge.alias("e")))).alias("x"))
-        chosen, _ = stage.save(
+        chosen, picked = stage.save(
             ends.groupBy("x.c").agg(F.min("x.e").alias("e"), F.count("*").alias("n")).select(
                 "c", F.when(F.col("e.u") == F.col("c"), F.col("e.v")).otherwise(F.col("e.u")).alias("p"), "n"
             ), {"n": F.count(F.lit(1))})
@@ -56,23 +56,24 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
         # the pair that chose the same edge: its smaller member is the tree's root
         mate = chosen.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
         tree, state = stage.save(
-            skew_join(chosen, mate, "p", "_c", hot, "c").select(
+            skew_join(chosen, mate, "p", "_c", hot, "c", right_rows=picked["n"]).select(
                 "c", F.when((F.col("_p") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")
-            ), {"open": F.count_if(F.col("c") != F.col("p"))})
+            ).withColumn("done", F.col("c") == F.col("p")), {"n": F.count(F.lit(1)), "open": F.count_if(F.col("c") != F.col("p"))})
         stage.drop(chosen)
-        while state["open"]:
-            up = tree.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
-            own = hot or hot_keys(tree.groupBy("p").agg(F.count("*").alias("n")), "p", "n", total)
-            jumped, state = stage.save(
-                skew_join(tree, up, "p", "_c", own, "c").select("c", F.col("_p").alias("p"), (F.col("_p") != F.col("p")).alias("moved")),
-                {"open": F.count_if("moved")})
-            stage.drop(tree)
-            tree = jumped.drop("moved")
-            tree._arborlake_path = jumped._arborlake_path
-        rounds.append(tree)
+        members, open_ = state["n"], state["open"]
+        while open_:  # nodes whose pointer has not reached the root yet
+            up = tree.select(F.col("c").alias("_c"), F.col("p").alias("_p"), F.col("done").alias("_done"))
+            opened = tree.filter(~F.col("done"))
+            own = hot or hot_keys(opened.groupBy("p").agg(F.count("*").alias("n")), "p", "n", open_)
+            jumped = skew_join(opened, up, "p", "_c", own, "c", right_rows=members).select("c", F.col("_p").alias("p"), F.col("_done").alias("done"))
+            before = tree
+            tree, state = stage.save(tree.filter("done").unionByName(jumped), {"open": F.count_if(~F.col("done"))})
+            stage.drop(before)
+            open_ = state["open"]
+        rounds.append((tree, members))
         to = tree.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
-        left = skew_join(edges, to, "u", "_c", hot, "v").select(F.col("_p").alias("ru"), "v")
-        both = skew_join(left, to, "v", "_c", hot, "ru").select("ru", F.col("_p").alias("rv"))
+        left = skew_join(edges, to, "u", "_c", hot, "v", right_rows=members).select(F.col("_p").alias("ru"), "v")
+        both = skew_join(left, to, "v", "_c", hot, "ru", right_rows=members).select("ru", F.col("_p").alias("rv"))
         pairs = both.filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         before = edges
         edges, seen = stage.save(_keyed(pairs), {"n": F.count(F.lit(1))})
@@ -80,12 +81,15 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
 
     if not rounds:
         return pairs.select(F.col("u").alias("node"), F.col("u").alias("group_id")).limit(0)
-    # roots of the last round are final; earlier rounds look theirs up, from the smallest table down
-    final = rounds[-1]
-    for tree in reversed(rounds[:-1]):
+    # roots of the last round are final; earlier rounds look theirs up, from the smallest table down.
+    # A root may gather a third of all nodes, so these joins are salted as well.
+    final, known = rounds[-1]
+    for tree, members in reversed(rounds[:-1]):
         up = final.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
-        final = tree.join(up, F.col("p") == F.col("_c"), "left").select("c", F.coalesce("_p", "p").alias("p"))
-    final, seen = stage.save(final, {"n": F.count(F.lit(1))})
+        hot = hot_keys(tree.groupBy("p").agg(F.count("*").alias("n")), "p", "n", members)
+        final, known = skew_join(tree, up, "p", "_c", hot, "c", "left", right_rows=known).select("c", F.coalesce("_p", "p").alias("p")), members
+    final = stage.save(final)
     least = final.groupBy(F.col("p").alias("_r")).agg(F.min("c").alias("group_id"), F.count("*").alias("_n"))
-    hot = hot_keys(least, "_r", "_n", seen["n"])
-    return skew_join(final, least.drop("_n"), "p", "_r", hot, "c").select(F.col("c").alias("node"), "group_id")
+    hot = hot_keys(least, "_r", "_n", known)
+    # group ids are fewer than half the nodes; how few is unknown, so nothing is broadcast above the bound
+    return skew_join(final, least.drop("_n"), "p", "_r", hot, "c", right_rows=known).select(F.col("c").alias("node"), "group_id")

@@ -3,8 +3,7 @@
 Agreement rates of every pair of raters, corrected for the agreement their own marginals give by
 chance, are products of the two raters' truth-tracking rates; each triplet (i, j, k) therefore gives
 one estimate of rater i, and the weighted median over all (j, k) withstands raters who copy each
-other. Rates become log-odds weights. The consensus is the score most careful raters give, log-odds
-weights deciding ties.
+other. Rates become log-odds weights, and the consensus is the score with the largest sum of them.
 
 Pairs of ratings are never emitted: each partition multiplies its one-hot rating matrix with itself
 and sends raters x raters sums, whatever the number of items.
@@ -21,9 +20,11 @@ from pyspark.sql import functions as F
 
 from arborlake.runtime import Stage, require_columns
 
-#: Raters are columns of the rating matrices; their number does not grow with the items.
-MAX_RATERS = 2_000
-#: A rater is careful in a dimension when it tracks the truth at least this often beyond chance.
+#: Raters are columns of the rating matrices; their number does not grow with the items. Triplets of
+#: so many raters are some millions per dimension, solved by the driver in seconds.
+MAX_RATERS = 256
+#: A rater is reported as careful in a dimension when it tracks the truth at least this often beyond
+#: chance; the vote does not depend on it.
 CAREFUL = 0.5
 
 
@@ -148,18 +149,18 @@ RELIABILITY = "dimension string, rater string, n_ratings long, rate double, accu
 def consensus(ratings: DataFrame, dims: Sequence[str], low: int = 1, high: int = 5, careful: float = CAREFUL) -> tuple[DataFrame, DataFrame]:
     """(consensus table, reliability table) of ratings (item, rater, <dims>; null: not rated).
 
-    Consensus: item, dimension, consensus, support (share of the deciding votes that give it),
-    n_votes (deciding votes). Deciding are the careful raters; an item without one is decided by the
-    log-odds weights of all its raters, with equal weights by plain numbers. Remaining ties go to
-    the smaller score. An item that nobody rated in a dimension has no row there. Empty in, empty out.
+    Consensus: item, dimension, consensus, support (share of the weights that gives it), n_votes
+    (raters with a weight). Raters vote with their log-odds weights; an item whose raters have none is
+    decided by plain numbers. Equal sums go to the score with more raters, then to the smaller one.
+    An item that nobody rated in a dimension has no row there. Empty in, empty out.
     """
     spark = ratings.sparkSession
     lists, rows = reliability(ratings, dims, low, high, careful)
     table = spark.createDataFrame(rows, RELIABILITY)
     index = {r: i for i, r in enumerate(sorted({x[1] for x in rows}))}
-    weight, good = np.zeros((len(dims), max(len(index), 1))), np.zeros((len(dims), max(len(index), 1)), bool)
-    for d, r, _, _, _, w, ok in rows:
-        weight[list(dims).index(d), index[r]], good[list(dims).index(d), index[r]] = w, ok
+    weight = np.zeros((len(dims), max(len(index), 1)))
+    for d, r, _, _, _, w, _ in rows:
+        weight[list(dims).index(d), index[r]] = w
     names = list(dims)
     kind = lists.schema["item"].dataType.simpleString()
 
@@ -171,19 +172,16 @@ def consensus(ratings: DataFrame, dims: Sequence[str], low: int = 1, high: int =
             for x, (d, col) in enumerate(zip(names, columns)):
                 rated = col > 0
                 cell = at[rated] * width + (col[rated] - low)
-                w, g = weight[x][who[rated]], good[x][who[rated]]
+                w = weight[x][who[rated]]
                 total = lambda v: np.bincount(cell, v, n * width).reshape(n, width)  # noqa: E731, B023
-                votes, logs, plain = total(g.astype(float)), total(w * g), total(np.ones(len(w)))
-                none = votes.sum(1) == 0
-                rank = votes * 1e6 + logs
-                rank[none] = (total(w) * 1e6 + plain)[none]
-                votes[none] = plain[none]
-                best = rank.argmax(1)  # the first of equals: the smaller score
-                some = plain.sum(1) > 0
-                hit = votes[np.arange(n), best]
+                logs, plain, some = total(w), total(np.ones(len(w))), total((w > 0).astype(float)).sum(1)
+                none = some == 0
+                logs[none], some[none] = plain[none], plain[none].sum(1)
+                best = np.lexsort((-np.arange(width) + np.zeros((n, 1)), plain, np.round(logs, 9)), axis=1)[:, -1]
+                hit, rated_at_all = logs[np.arange(n), best], plain.sum(1) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("item").filter(pa.array(some)), pa.array([d] * int(some.sum()), pa.string()), pa.array((best + low)[some], pa.int32()),
-                     pa.array((hit / np.maximum(votes.sum(1), 1))[some]), pa.array(votes.sum(1)[some].astype(np.int32))],
+                    [batch.column("item").filter(pa.array(rated_at_all)), pa.array([d] * int(rated_at_all.sum()), pa.string()), pa.array((best + low)[rated_at_all], pa.int32()),
+                     pa.array((hit / np.maximum(logs.sum(1), 1e-12))[rated_at_all]), pa.array(some[rated_at_all].astype(np.int32))],
                     names=["item", "dimension", "consensus", "support", "n_votes"])
 
     return lists.mapInArrow(run, f"item {kind}, dimension string, consensus int, support double, n_votes int"), table
