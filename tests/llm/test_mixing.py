@@ -14,7 +14,9 @@ def test_shares_caps_and_determinism(spark):
     got = {r["source"]: r for r in report}
     for s, share in (("big", 0.5 / 0.95), ("small_source", 0.3 / 0.95), ("tiny", 0.15 / 0.95)):
         assert abs(got[s]["actual_share"] - share) < 0.003 and got[s]["most_copies"] <= got[s]["max_repeats"]
-    assert got["none"]["actual_share"] == 0
+    assert got["none"]["actual_share"] == 0 and all(r["converged"] for r in report)
+    _, early = balance(df, t, steps=1)
+    assert not all(r["converged"] for r in early)
     again, _ = balance(df.repartition(3).orderBy("size"), t)
     assert sorted((r.key, r.copies) for r in copies.collect()) == sorted((r.key, r.copies) for r in again.collect())
     assert copies.count() == 3000
