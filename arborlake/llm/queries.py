@@ -24,19 +24,22 @@ def _query(fn):
 
 @_query
 def p3_found(spark, d):
-    """Nodes whose label and human label differ as stored and look the same."""
+    """Nodes whose label and human label differ as stored, are equal in their comparison form and, by
+    the exact check of what a reader sees, look the same."""
     nodes = visible.unify_labels(table(spark, d, "tree_nodes_l3"))
-    return nodes.filter("label <> human_label and label_form = human_label_form").select("node_id")
+    return nodes.filter("label <> human_label and label_form = human_label_form and label_seen = human_label_seen").select("node_id")
 
 
 @_query
 def p3_labels(spark, d):
-    """Both labels of every node in their one form, with what a reader sees of the change."""
+    """Both labels of every node in their comparison form, with what a reader sees of the change:
+    style is a difference of case, raised or circled characters and the like only."""
     nodes = visible.unify_labels(table(spark, d, "tree_nodes_l3"))
     change = (
         F.when(F.col("label").isNull() | F.col("human_label").isNull(), "missing")
         .when(F.col("label") == F.col("human_label"), "none")
-        .when(F.col("label_form") == F.col("human_label_form"), "encoding")
+        .when(F.col("label_seen") == F.col("human_label_seen"), "encoding")
+        .when(F.col("label_form") == F.col("human_label_form"), "style")
         .otherwise("renamed")
     )
     return nodes.select("node_id", "label_form", "human_label_form", change.alias("change"))
