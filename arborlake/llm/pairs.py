@@ -5,64 +5,41 @@ in a fixed order, each test on the whole text: empty, copy, refusal, other_langu
 
 * Languages: posteriors of a character n-gram naive Bayes model over the prose of prompt and
   response, quoted labels, ids and field names masked; a language the prompt names outweighs the
-  prompt's own.
-* Truncation: JSON that ends inside a string or an open bracket; prose without a closing mark whose
-  last characters rarely end a sentence in the responses (end-of-text n-gram likelihood over all
-  responses). JSON that merely needs repair is no defect.
+  prompt's own. A response in a script that no language of the model has is in another language.
+* Refusals: naive Bayes over n-grams, from a few sentences that decline and then from the log itself.
+* Truncation: prose without a closing mark whose last characters rarely end a sentence in the
+  responses (end-of-text n-gram likelihood over all responses); JSON that ends inside a string or an
+  open bracket. JSON that merely needs repair is no defect.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.runtime import require_columns, spread
+from arborlake.llm.answer_models import BUCKETS, LANGUAGES, LanguageModel, RefusalModel, grams
+from arborlake.runtime import Stage, spread
 
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 
-# Sample sentences the language model starts from.
-SEEDS = {
-    "zh": "我们在这里说明情况，请大家先看完整份材料，再提出意见。这个方案已经讨论过，多数人认为可以保留，只有少数内容需要修改。因此建议先完成前两项工作，然后再安排下一步。如果时间不够，可以把会议推迟到下周。他们的办法很简单，但是效果不错，也更便于管理。两者之间没有重复，不必合并为一个。",
-    "en": "We explain the matter here, so please read the whole paper before you give your view. This plan was discussed and most people think it can stay, while only a few parts need a change. It is better to finish the first two tasks and then arrange the next step. If there is not enough time, the meeting can move to next week. Their way is simple but it works well and is easier to manage. The two of them do not overlap, because each has its own purpose.",
-    "ja": "ここで事情を説明しますので、資料を最後まで読んでから意見を出してください。この案はすでに話し合い、多くの人が残してもよいと考えていますが、一部は直す必要があります。まず最初の二つの仕事を終えて、それから次の段階を決めるのがよいでしょう。時間が足りない場合は、会議を来週に延ばすことができます。方法は簡単ですが、効果があり管理もしやすいです。",
-    "ko": "여기에서 상황을 설명하니 자료를 끝까지 읽고 의견을 내 주십시오. 이 계획은 이미 논의되었고 많은 사람이 유지해도 된다고 생각하지만 일부는 고쳐야 합니다. 먼저 처음 두 가지 일을 끝내고 다음 단계를 정하는 것이 좋습니다. 시간이 부족하면 회의를 다음 주로 미룰 수 있습니다. 방법은 간단하지만 효과가 있고 관리하기도 쉽습니다.",
-    "fr": "Nous expliquons ici la situation, veuillez donc lire tout le document avant de donner votre avis. Ce projet a été discuté et la plupart des gens pensent qu'il peut rester, mais quelques parties doivent changer. Il vaut mieux finir les deux premières tâches puis préparer la suite. S'il n'y a pas assez de temps, la réunion peut être déplacée à la semaine prochaine. Leur manière est simple mais elle marche bien et elle est plus facile à gérer.",
-    "es": "Aquí explicamos la situación, así que lea todo el documento antes de dar su opinión. Este plan ya se discutió y la mayoría de la gente cree que puede quedar, pero algunas partes necesitan un cambio. Es mejor terminar las dos primeras tareas y luego preparar el siguiente paso. Si no hay tiempo suficiente, la reunión puede pasar a la semana próxima. Su manera es sencilla pero funciona bien y es más fácil de manejar.",
-    "de": "Wir erklären hier die Lage, bitte lesen Sie also das ganze Papier, bevor Sie Ihre Meinung sagen. Dieser Plan wurde besprochen und die meisten Leute denken, dass er bleiben kann, aber einige Teile müssen geändert werden. Es ist besser, zuerst die beiden ersten Aufgaben zu beenden und dann den nächsten Schritt zu planen. Wenn die Zeit nicht reicht, kann die Sitzung auf die nächste Woche verschoben werden. Der Weg ist einfach und leicht zu verwalten.",
-    "ru": "Здесь мы объясняем положение дел, поэтому прочитайте весь документ, прежде чем высказать мнение. Этот план уже обсудили, и большинство людей считает, что его можно оставить, но некоторые части нужно изменить. Лучше сначала закончить первые две задачи, а затем подготовить следующий шаг. Если времени не хватает, встречу можно перенести на следующую неделю. Их способ простой, но он хорошо работает.",
-    "pt": "Aqui explicamos a situação, por isso leia todo o documento antes de dar a sua opinião. Este plano já foi discutido e a maioria das pessoas acha que pode ficar, mas algumas partes precisam de uma mudança. É melhor terminar as duas primeiras tarefas e depois preparar o próximo passo. Se não houver tempo suficiente, a reunião pode passar para a próxima semana. O modo é simples mas funciona bem.",
-    "it": "Qui spieghiamo la situazione, quindi leggete tutto il documento prima di dare la vostra opinione. Questo piano è già stato discusso e la maggior parte delle persone pensa che possa restare, ma alcune parti hanno bisogno di un cambiamento. È meglio finire i primi due compiti e poi preparare il passo seguente. Se non c'è abbastanza tempo, la riunione può passare alla prossima settimana.",
-}
 # Names of languages as prompts write them.
 NAMES = {
     "zh": r"中文|汉语|漢語|华语|普通话|Chinese|Mandarin", "en": r"英文|英语|英語|English", "ja": r"日文|日语|日本語|Japanese", "ko": r"韩文|韩语|한국어|Korean",
     "fr": r"法文|法语|French|français", "es": r"西班牙文|西班牙语|Spanish|español", "de": r"德文|德语|German|Deutsch", "ru": r"俄文|俄语|Russian|русск\w*",
     "pt": r"葡萄牙文|葡萄牙语|Portuguese|português", "it": r"意大利文|意大利语|Italian|italiano",
 }
-# Sentences that decline a task, by what is declined and not by an apology alone.
-REFUSAL = regex.compile(
-    r"(无法|不能|不便|难以|恕不|恕难|暂不|不予|不宜|拒绝|没有\w{0,5}(权限|资格|能力))\w{0,12}(请求|问题|任务|要求|协助|帮助|回答|答复|作答|判断|处理|评论|提供|讨论)"
-    r"|(请求|问题|任务|要求)\w{0,8}(不予|帮不了|无法|不能|不便|恕难|暂不|拒绝)|帮不了|恕难|无可奉告|超出\w{0,6}(能力|权限|范围)|涉及敏感"
-    r"|作为\w{0,6}(语言模型|人工智能|AI|助手)"
-    r"|\b(I|we)\b[^.!?]{0,30}\b(cannot|can't|can not|could not|couldn't|unable|not able|not allowed|not permitted|won't|will not|must decline|decline|refuse|have to decline)\b[^.!?]*\b(help|assist|comply|answer|respond|request|judge|provide|complete|process|discuss|task|question|this|that)\b"
-    r"|\bas an? (AI|language model|assistant)\b|\b(beyond|outside) (my|what I)\b|\b(request|question|task)\b[^.!?]{0,40}\b(cannot be|can't be|is not allowed|is declined|refused|not possible)\b"
-    r"|\bno (answer|response|reply)\b[^.!?]{0,20}\b(provided|given|offered|possible)\b"
-    r"|\b(content|policy) (restrictions?|polic(y|ies)) (prevent|forbid|do(es)? not)\b"
-    r"|no puedo|je ne peux pas|не могу|お答えできません|対応できません|답변할 수 없|도와드릴 수 없|ich kann (ihnen )?(dabei )?nicht",
-    regex.I,
-)
-_COURTESY = regex.compile(r"如有|乐意|请咨询|请联系|建议改由|请改由|抱歉|对不起|sorry|apolog|please (contact|ask|consult)|reviewer|take over|happy to|another (question|way)|feel free", regex.I)
 _FENCE = regex.compile(r"```\s*\w*")
 _QUOTED = regex.compile(r"「[^」]*(」|$)|『[^』]*(』|$)|“[^”]*(”|$)|《[^》]*(》|$)|\"[^\"]*(\"|$)")
+_CLOSED = regex.compile(r"「[^」]*」|『[^』]*』|“[^”]*”|《[^》]*》|\"[^\"]*\"")
 _ID = regex.compile(r"\b[A-Za-z]\d?_\w+\b")
 _END = "。．.!！?？」』”\"）)】]》…:：;；"
 _STOP = "。．.!！?？"
@@ -144,75 +121,19 @@ def mask(text: str) -> str:
 
 # Languages ----------------------------------------------------------------------------------------
 
-
-def _script(c: str) -> str:
-    o = ord(c)
-    if 0x4E00 <= o <= 0x9FFF or 0x3400 <= o <= 0x4DBF:
-        return "han"
-    if 0x3040 <= o <= 0x30FF:
-        return "kana"
-    if 0xAC00 <= o <= 0xD7AF or 0x1100 <= o <= 0x11FF:
-        return "hangul"
-    if 0x0400 <= o <= 0x04FF:
-        return "cyrillic"
-    return "latin" if c.isalpha() and o < 0x250 else "other"
-
-
-def _grams(text: str) -> Counter:
-    t = regex.sub(r"[^\p{L}]+", " ", unicodedata.normalize("NFKC", text).lower()).strip()
-    out: Counter = Counter()
-    for n in (1, 2, 3):
-        padded = f" {t} " if n > 1 else t.replace(" ", "")
-        out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
-    for c in t:
-        if c != " ":
-            out[f"script:{_script(c)}"] += 2
-    return out
-
-
-class LanguageModel:
-    """Naive Bayes over character n-grams of length 1 to 3 and scripts, from the seed sentences."""
-
-    def __init__(self, alpha: float = 0.3):
-        counts = {k: _grams(v) for k, v in SEEDS.items()}
-        vocabulary = len(set().union(*counts.values()))
-        least = max(sum(c.values()) for c in counts.values()) + alpha * vocabulary
-        # one denominator for all, so that an unseen n-gram favours no language
-        self.log = {k: {g: math.log((n * least / (sum(c.values()) + alpha * vocabulary) + alpha) / least) for g, n in c.items()} for k, c in counts.items()}
-        self.unseen = math.log(alpha / least)
-
-        self.known: dict[str, dict[str, float]] = {}
-
-    def scores(self, sentence: str) -> dict[str, float]:
-        """Log-likelihood of a sentence in each language; sentences recur, so they are kept a while."""
-        got = self.known.get(sentence)
-        if got is None:
-            grams = _grams(sentence)
-            got = {k: sum(n * log.get(g, self.unseen) for g, n in grams.items()) for k, log in self.log.items()}
-            if len(self.known) >= 20_000:
-                self.known.clear()
-            self.known[sentence] = got
-        return got
-
-    def posterior(self, text: str) -> dict[str, float]:
-        each = [self.scores(s.strip()) for s in _SENTENCE.findall(text)] or [self.scores("")]
-        score = {k: sum(e[k] for e in each) for k in self.log}
-        top = max(score.values())
-        total = sum(math.exp(max(s - top, -700)) for s in score.values())
-        return {k: math.exp(max(s - top, -700)) / total for k, s in score.items()}
-
-
 _NAMED = {k: regex.compile(v, regex.I) for k, v in NAMES.items()}
 
 
-def wanted_language(prompt: str, model: LanguageModel) -> str:
-    """The language named last in the prompt's own words, else that of its instruction."""
-    own = mask(prompt)
+def named_language(own: str) -> str | None:
+    """The language named last in the prompt's own words (mask())."""
     named = [(m.end(), k) for k, p in _NAMED.items() for m in p.finditer(own)]
-    if named:
-        return max(named)[1]
+    return max(named)[1] if named else None
+
+
+def instruction(own: str) -> str:
+    """The last two sentences of the prompt's own words: its instruction."""
     sentences = [s for s in _SENTENCE.findall(own) if regex.search(r"\p{L}{2}", s)]
-    return max((p := model.posterior(" ".join(sentences[-2:]) or own)), key=p.get)
+    return " ".join(sentences[-2:]) or own
 
 
 # Copies -------------------------------------------------------------------------------------------
@@ -224,156 +145,261 @@ def _bare(text: str) -> str:
     return regex.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text)).lower()
 
 
-def copied_share(prose: str, prompt: str, n: int = 5) -> tuple[float, float]:
-    """(share of the prose that is the prompt's, share of the prompt found in the prose), by n-grams."""
-    a, b = _bare(_LEAD.sub("", prose)), _bare(prompt)
-    if len(a) < n or len(b) < n:
-        return (1.0, 1.0) if a and a == b else (0.0, 0.0)
-    ga, gb = Counter(a[i : i + n] for i in range(len(a) - n + 1)), Counter(b[i : i + n] for i in range(len(b) - n + 1))
-    return sum(v for g, v in ga.items() if g in gb) / sum(ga.values()), sum(v for g, v in gb.items() if g in ga) / sum(gb.values())
+@lru_cache(4_096)
+def _prompt_grams(prompt: str, n: int) -> Counter:
+    b = _bare(prompt)
+    return Counter(b[i : i + n] for i in range(len(b) - n + 1))
+
+
+def is_copy(prose: str, prompt: str, n: int = 5, of_prose: float = 0.8, of_prompt: float = 0.4) -> bool:
+    """Whether the n-grams of the prose are the prompt's to that share and make up that share of it.
+
+    The count of the prose's n-grams ends as soon as too many are not the prompt's."""
+    a, gb = _bare(_LEAD.sub("", prose)), _prompt_grams(prompt, n)
+    if len(a) < n or not gb:
+        return bool(a) and a == _bare(prompt)
+    total = len(a) - n + 1
+    may_miss = (1 - of_prose) * total
+    for i in range(total):
+        if a[i : i + n] not in gb:
+            may_miss -= 1
+            if may_miss < 0:
+                return False
+    ga = {a[i : i + n] for i in range(total)}
+    return sum(v for g, v in gb.items() if g in ga) >= of_prompt * sum(gb.values())
 
 
 # Truncation ---------------------------------------------------------------------------------------
 
 _N = (6, 5, 4, 3, 2)
+#: A text ends where sentences do with at least this likelihood, else it breaks off.
+END_LIKELIHOOD = 0.5
+#: Weight, in occurrences, of the next shorter n-gram's likelihood in the interpolation.
+SHORTER = 3.0
 
 
-def _endings(prose: str) -> Iterator[tuple[str, int, int]]:
-    """(n-gram, occurrences, occurrences before a closing mark) of the sentences that are closed."""
-    for s in _SENTENCE.findall(mask_quotes(prose)):
+def mask_quotes(text: str) -> str:
+    """Text with every closed label as one character; a label left open stays, and ends no sentence."""
+    return regex.sub(r"(\.{3,}|。{3,}|…+)", "…", _CLOSED.sub("\N{REPLACEMENT CHARACTER}", text))
+
+
+def last_grams(prose: str) -> list[str] | None:
+    """The n-grams a text ends with, longest first; None when a mark closes it or it has no letter."""
+    t = mask_quotes(prose).rstrip()
+    if not regex.search(r"\p{L}", t) or t[-1] in _STOP or t[-1] in ":：;；":
+        return None
+    return [t[-n:] for n in _N if len(t) >= n]
+
+
+def ending_counts(sentences: Counter) -> tuple[Counter, Counter]:
+    """(occurrences, occurrences before a closing mark) of the n-grams of closed sentences."""
+    n: Counter = Counter()
+    e: Counter = Counter()
+    for s, k in sentences.items():
         t = s.rstrip()
         if t[-1:] not in _STOP:
             continue
         t = t.rstrip(_STOP)
-        for n in _N:
-            for i in range(len(t) - n + 1):
-                yield t[i : i + n], 1, int(i + n == len(t))
+        for size in _N:
+            for i in range(len(t) - size + 1):
+                n[t[i : i + size]] += k
+            if len(t) >= size:
+                e[t[-size:]] += k
+    return n, e
 
 
-def mask_quotes(text: str) -> str:
-    return _QUOTED.sub("\N{REPLACEMENT CHARACTER}", text)
+def end_likelihood(parsed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(_k, ends) of rows with last n-grams (tail): the likelihood that a sentence ends there.
 
+    counts: g, n, e over the whole log. The likelihood of an n-gram is e/n, interpolated with that of
+    the next shorter one; a text whose last n-grams are unknown has 0."""
+    asked = parsed.filter("tail is not null").select("_k", F.explode("tail").alias("g"))
+    known = asked.join(counts, "g").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct(F.length("g").alias("size"), "n", "e"))).alias("x"))
+    ends = F.aggregate("x", F.lit(0.0), lambda p, x: (x["e"] + SHORTER * p) / (x["n"] + SHORTER))
+    return parsed.filter("tail is not null").select("_k").join(known, "_k", "left").select("_k", F.coalesce(ends, F.lit(0.0)).alias("ends"))
 
-def ending_counts(prose: DataFrame, column: str) -> dict[str, tuple[int, int]]:
-    """Counts of sentence-end n-grams over all rows: those that close a sentence at least once.
 
-    Sentences repeat, so they are counted per partition before n-grams are; only n-grams seen at
-    least 5 times and at an end are kept, at most 200,000 of them (the most frequent first).
-    """
+# The operator -------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(x.strip() for x in _SENTENCE.findall(mask_quotes(text)))
-            if len(seen) > 200_000:
-                yield _counts(seen)
-                seen.clear()
-        yield _counts(seen)
+_PARTS = "kind int, g string, i long, n long, e long"
 
-    rows = (
-        prose.select(column).mapInArrow(run, "g string, n long, e long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-        .filter("n >= 5 and e > 0").orderBy(F.desc("n"), "g").limit(200_000).collect()
-    )
-    return {r.g: (r.n, r.e) for r in rows}
 
+def _rows(kind: int, g: list, i, n, e=None) -> pa.RecordBatch:
+    size = len(n)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(size, kind, np.int32)), pa.array(g, pa.string()) if g else pa.nulls(size, pa.string()), pa.array(i, pa.int64()) if i is not None else pa.nulls(size, pa.int64()), pa.array(n, pa.int64()), pa.array(e, pa.int64()) if e is not None else pa.nulls(size, pa.int64())],
+        names=["kind", "g", "i", "n", "e"])
 
-def _counts(sentences: Counter) -> pa.RecordBatch:
-    n: Counter = Counter()
-    e: Counter = Counter()
-    for s, k in sentences.items():
-        for g, _, end in _endings(s):
-            n[g] += k
-            if end:
-                e[g] += k
-    keys = list(n)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[g] for g in keys], pa.int64()), pa.array([e[g] for g in keys], pa.int64())], names=["g", "n", "e"])
 
+def _buckets(kind: int, counts: np.ndarray) -> pa.RecordBatch:
+    used = np.flatnonzero(counts.ravel())
+    return _rows(kind, [], used, counts.ravel()[used].astype(np.int64))
 
-def end_likelihood(prose: str, counts: dict[str, tuple[int, int]]) -> float:
-    """Probability that a sentence ends where the prose does, by its longest known last n-gram."""
-    t = mask_quotes(prose).rstrip()
-    for n in _N:
-        if len(t) >= n and t[-n:] in counts:
-            seen, ends = counts[t[-n:]]
-            return ends / seen
-    return 0.0
-
-
-def breaks_off(prose: str, counts: dict[str, tuple[int, int]], least: float = 0.5) -> bool:
-    t = prose.rstrip()
-    if not regex.search(r"\p{L}", t):
-        return False
-    if regex.search(r"(…|\.\.\.|。。。)\W*$", t):
-        return True
-    if sum(map(t.count, "「『“")) > sum(map(t.count, "」』”")) or t.count('"') % 2:
-        return True  # a label is left open
-    if t[-1] in _END:
-        return t[-1] not in _STOP and t[-1] not in "!！?？:：;；" and end_likelihood(t, counts) < least and _bare(t[-8:]) != "" and t[-1] in "」』”\"）)】]》"
-    return end_likelihood(t, counts) < least
 
+def sentences_of(prose: str) -> list[str]:
+    return [t for s in _SENTENCE.findall(mask_quotes(prose)) if (t := s.strip())]
 
-# The operator -------------------------------------------------------------------------------------
 
+class _Scores:
+    """Scores of sentences by a function over many of them; sentences recur, so they are kept a while."""
+
+    def __init__(self, score):
+        self.score, self.known = score, {}
+
+    def of(self, texts: list[str]) -> list:
+        if len(self.known) > 100_000:
+            self.known.clear()
+        fresh = [t for t in dict.fromkeys(texts) if t not in self.known]
+        for at in range(0, len(fresh), 2_000):
+            some = fresh[at : at + 2_000]
+            self.known.update(zip(some, self.score(some)))
+        return [self.known[t] for t in texts]
+
+
+def _count_log(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the log: kind 0 ending n-grams, 1 n-grams by language, 2 n-grams of all responses."""
+    model, seen = LanguageModel(), Counter()
+    by_language, everything = np.zeros((len(LANGUAGES), BUCKETS)), np.zeros(BUCKETS)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        n, e = ending_counts(seen)
+        keys = list(n)
+        yield _rows(0, keys, None, [n[g] for g in keys], [e[g] for g in keys])
+        texts, times = list(seen), np.array(list(seen.values()), float)
+        for at in range(0, len(texts), 2_000):
+            some, k = texts[at : at + 2_000], times[at : at + 2_000]
+            b, o = grams(some, RefusalModel.SIZES)
+            everything[:] += np.bincount(b, k[o], BUCKETS)
+            own = [mask(t) for t in some]
+            p = model.posterior(model.scores(own))
+            sure = (p[:, :-1].max(1) > 0.999) & (np.array([len(regex.findall(r"\p{L}", t)) for t in own]) >= 6)
+            b, o = grams(own, LanguageModel.SIZES, True)
+            keep = sure[o]
+            np.add.at(by_language, (p.argmax(1)[o[keep]], b[keep]), k[o[keep]])
+        seen.clear()
+
+    for batch in batches:
+        for text in batch.column("prose").to_pylist():
+            if text:
+                seen.update(sentences_of(text))
+        if len(seen) > 100_000:
+            yield from flush()
+    yield from flush()
+    yield _buckets(1, by_language)
+    yield _buckets(2, everything)
+
+
+def _count_refusals(model: RefusalModel):
+    """Counts of n-grams of the responses a model takes for refusals (kind 3) and of the others (4)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, counts = _Scores(model.scores), {True: Counter(), False: Counter()}
+        sums = {True: np.zeros(BUCKETS), False: np.zeros(BUCKETS)}
+
+        def add() -> None:
+            for no, seen in counts.items():
+                texts, times = list(seen), np.array(list(seen.values()), float)
+                for at in range(0, len(texts), 2_000):
+                    b, o = grams(texts[at : at + 2_000], RefusalModel.SIZES)
+                    sums[no] += np.bincount(b, times[at : at + 2_000][o], BUCKETS)
+                seen.clear()
+
+        for batch in batches:
+            each = [sentences_of(t) if t else [] for t in batch.column("prose").to_pylist()]
+            flat = iter(scores.of([s for ss in each for s in ss]))
+            for ss in each:
+                odds = [next(flat) for _ in ss]
+                counts[bool(ss) and sum(odds) > model.TEACHES].update(ss)
+            if sum(map(len, counts.values())) > 100_000:
+                add()
+        add()
+        yield _buckets(3, sums[True])
+        yield _buckets(4, sums[False])
+
+    return run
+
+
+def _table(parts: DataFrame, kind: int, size: int) -> np.ndarray:
+    """Summed buckets of a kind: a fixed number of rows."""
+    t = parts.filter(F.col("kind") == kind).groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[t.column("i").to_numpy()] = t.column("n").to_numpy()
+    return out
+
+
+def _judge(languages: LanguageModel, refusals: RefusalModel):
+    """Arrow function of (_k, prompt, prose, said): the defect, truncation left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tongue, odds = _Scores(languages.scores), _Scores(refusals.scores)
+        at = {k: i for i, k in enumerate(LANGUAGES)}
+        for b in batches:
+            prompts = [clean(p) for p in b.column("prompt").to_pylist()]
+            proses, said = b.column("prose").to_pylist(), b.column("said").to_pylist()
+            each = [sentences_of(p) for p in proses]
+            declines = iter(odds.of([s for ss in each for s in ss]))
+            no = [bool(ss) and sum(next(declines) for _ in ss) > refusals.DECLINES for ss in each]
+            own = [mask(p) for p in proses]
+            parts = [[t for s in _SENTENCE.findall(o) if (t := s.strip())] for o in own]
+            voices = iter(tongue.of([s for ss in parts for s in ss]))
+            heard = [sum((next(voices) for _ in ss), np.zeros(len(LANGUAGES) + 1)) for ss in parts]
+            asked = [mask(p) for p in prompts]
+            named = [named_language(p) for p in asked]
+            spoken = tongue.of([instruction(p) for p in asked])
+            found: list[str | None] = []
+            for i, (prompt, prose) in enumerate(zip(prompts, proses)):
+                defect = None
+                if not said[i]:
+                    defect = "empty"
+                elif prompt and prose and is_copy(prose, prompt):
+                    defect = "copy"
+                elif no[i]:
+                    defect = "refusal"
+                elif prompt and len(regex.findall(r"\p{L}", own[i])) >= 6:
+                    want = at[named[i]] if named[i] else int(np.argmax(spoken[i]))
+                    p = languages.posterior(heard[i])
+                    if want < len(LANGUAGES) and int(p.argmax()) != want and p[want] < 0.01:
+                        defect = "other_language"
+                found.append(defect)
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(found, pa.string())], names=["_k", "defect"])
 
-@lru_cache(50_000)
-def _declines(sentence: str) -> tuple[bool, bool]:
-    """(declines the task, declines it or is a courtesy around that)."""
-    no = bool(REFUSAL.search(sentence))
-    return no, no or bool(_COURTESY.search(sentence))
-
-
-def defect_of(prompt: str | None, raw: str | None, model: LanguageModel, endings: dict[str, tuple[int, int]]) -> str | None:
-    """The defect type of one pair, or None. A response to a null prompt has no language or copy test."""
-    u = unwrap(raw)
-    prose, asked = u["prose"], clean(prompt)
-    if not u["said"]:
-        return "empty"
-    if asked and prose:
-        of_prose, of_prompt = copied_share(prose, asked)
-        if of_prose >= 0.8 and of_prompt >= 0.4:
-            return "copy"
-    sentences = [s for s in _SENTENCE.findall(mask_quotes(prose)) if regex.search(r"\p{L}", s)]
-    declines = [_declines(s.strip()) for s in sentences]
-    if any(no for no, _ in declines) and all(part for _, part in declines):
-        return "refusal"
-    if asked:
-        own = mask(prose)
-        if len(regex.findall(r"\p{L}", own)) >= 6:
-            wanted, p = wanted_language(asked, model), model.posterior(own)
-            best = max(p, key=p.get)
-            if best != wanted and p[wanted] < 0.01:
-                return "other_language"
-    if u["cut"] or breaks_off(prose, endings):
-        return "truncated"
-    return None
+    return run
 
 
 def flag_pairs(pairs: DataFrame, key: str, prompt: str, raw: str, order: str) -> DataFrame:
-    """(key, defect) of every defective pair, one row per key.
+    """(key, defect, evidence) of every defective pair, one row per key.
 
     prompt, raw and order are expressions; the newest row of a key counts (ties: the larger texts),
-    so copies count once. Null or blank responses are empty. Rows without a key drop out.
+    so copies count once. Null or blank responses are empty; a response to a null or blank prompt has
+    no language and no copy test. Rows without a key drop out. evidence tells what made it truncated:
+    json (syntax) or likelihood; it is null for the other defects. Every count is over the whole log.
     """
+    stage = Stage(pairs.sparkSession, "pairs")
     newest = (
         pairs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct(F.expr(prompt).alias("prompt"), F.expr(raw).alias("raw")).alias("x"), F.expr(order).alias("at"))
         .groupBy("_k").agg(F.max_by("x", F.struct("at", "x")).alias("x")).select("_k", "x.prompt", "x.raw")
     )
-    newest = spread(newest, "_k")  # few bytes but much work per row
-
-    def prose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([unwrap(t)["prose"] for t in b.column(0).to_pylist()], pa.string())], names=["prose"])
-
-    endings = ending_counts(newest.select("raw").mapInArrow(prose, "prose string"), "prose")
-    shared = pairs.sparkSession.sparkContext.broadcast(endings)
+    kind = newest.schema["_k"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LanguageModel()
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [defect_of(p, r, model, shared.value) for p, r in zip(b.column("prompt").to_pylist(), b.column("raw").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(found, pa.string())], names=["_k", "defect"])
-
-    kind = newest.schema["_k"].dataType.simpleString()
-    return newest.mapInArrow(run, f"_k {kind}, defect string").filter("defect is not null").withColumnRenamed("_k", key)
+            u = [unwrap(t) for t in b.column("raw").to_pylist()]
+            tails = [None if x["cut"] or not x["said"] else last_grams(x["prose"]) for x in u]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_k"), b.column("prompt"), pa.array([x["prose"] for x in u], pa.string()), pa.array([x["said"] for x in u]), pa.array([x["cut"] for x in u]), pa.array(tails, pa.list_(pa.string()))],
+                names=["_k", "prompt", "prose", "said", "cut", "tail"])
+
+    # few bytes but much work per row
+    parsed = stage.save(spread(newest, "_k").mapInArrow(parse, f"_k {kind}, prompt string, prose string, said boolean, cut boolean, tail array<string>"))
+    parts = stage.save(spread(parsed.select("prose")).mapInArrow(_count_log, _PARTS))
+    languages = LanguageModel(_table(parts, 1, len(LANGUAGES) * BUCKETS).reshape(-1, BUCKETS))
+    first = RefusalModel(_table(parts, 2, BUCKETS))
+    again = stage.save(spread(parsed.select("prose")).mapInArrow(_count_refusals(first), _PARTS))
+    refusals = RefusalModel(_table(again, 4, BUCKETS), _table(again, 3, BUCKETS))
+    judged = spread(parsed, "_k").mapInArrow(_judge(languages, refusals), f"_k {kind}, defect string")
+    counts = parts.filter("kind = 0").groupBy("g").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    ends = end_likelihood(parsed, counts).filter(F.col("ends") < END_LIKELIHOOD).select("_k", F.lit("likelihood").alias("evidence"))
+    cut = parsed.filter("cut").select("_k", F.lit("json").alias("evidence"))
+    off = ends.unionByName(cut).withColumnRenamed("_k", "_c")
+    both = judged.join(off, F.col("_k") == F.col("_c"), "left").filter("defect is not null or evidence is not null")
+    return both.select(F.col("_k").alias(key), F.coalesce("defect", F.lit("truncated")).alias("defect"), F.when(F.col("defect").isNull(), F.col("evidence")).alias("evidence"))

@@ -124,7 +124,7 @@ def p4_alpha(spark, d):
 @_query
 def p1_found(spark, d):
     """Defective responses with their defect type."""
-    return pairs.flag_pairs(table(spark, d, "llm_balance_log"), "response_id", "prompt", "resp.raw", "ts")
+    return pairs.flag_pairs(table(spark, d, "llm_balance_log"), "response_id", "prompt", "resp.raw", "ts").select("response_id", "defect")
 
 
 @_query
