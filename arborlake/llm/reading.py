@@ -1,7 +1,7 @@
 """P9: reading level of each document from a linear pairwise ranker calibrated by isotonic regression.
 
-Texts are cut into clauses; each clause has syntax features (length, word length, ...) and vocabulary
-features. A linear ranker learns from all pairs of graded passages of one language and different
+Texts are cut into clauses; each clause has syntax features (lengths of clause, words and sentence, long
+words, signs, clauses a sentence) and a vocabulary feature. A linear ranker learns from all pairs of graded passages of one language and different
 bands which of the two is harder; isotonic regression turns its scores into levels.
 
 Graded passages hold few words, the corpus many. So the first ranker, on hashed words, places every
@@ -34,7 +34,12 @@ MAX_EXAMPLES = 1_000
 
 _MARKUP = regex.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|https?://\S+|<\|[^|\n]{1,30}\|>")
 _ITEM = regex.compile(r"^\s*([一二三四五六七八九十]{1,3}、|[(（][一二三四五六七八九十\d]{1,3}[)）]|\d{1,2}[.、)]\s)", regex.M)
-_CUT = "。！？；，：!?;,.:\n\x00"
+#: Ends a line that is no sentence.
+_FRAGMENT = "\x01"
+#: A line of at most so many characters (with Han, without) that ends no sentence is a fragment: a
+#: title, a number, a date. Its words count like all others; it has no vote on the band.
+FRAGMENT_CHARS = (30, 70)
+_CUT = "。！？；，：!?;,.:\n\x00\x01"
 _FINAL = "。！？!?.;；"
 _CLOSING = "。，、；：！？,.;:!?)）》」”’"
 _HAN = regex.compile(r"\p{Han}")
@@ -62,6 +67,10 @@ class Clauses:
     term: np.ndarray
     of: np.ndarray  # clause of each term
     initial: np.ndarray  # whether a sentence mark, and no comma, stands before the clause
+    fragment: np.ndarray  # whether the clause is in a line that is no sentence
+    long: np.ndarray  # words of 8 letters and more
+    marks: np.ndarray  # digits, brackets, quotes and other signs
+    sentence: np.ndarray  # number of the clause's sentence
 
 
 def _flat_width(text: str) -> int:
@@ -103,14 +112,12 @@ def unwrap(text: str) -> str:
 
 
 def plain(text: str) -> str:
-    """Text without markup, list numbers and furniture lines (short lines that end no sentence and are
-    no part of a wrapped paragraph)."""
-    t = _ITEM.sub("", _MARKUP.sub(" ", unwrap(text) if "\n" in text else text))
-    if "\n" in t:
-        lines = [x.strip() for x in t.split("\n")]
-        kept = [x for x in lines if x and (x[-1] in _FINAL or len(x) > (30 if regex.search(r"\p{Han}", x) else 70))]
-        t = "\n".join(kept) if kept else t
-    return t
+    """Text without markup and list numbers, wrapped lines joined, fragment lines marked at their end."""
+    t = _ITEM.sub("", _MARKUP.sub(" ", unwrap(text) if "\n" in text else text)).replace(_FRAGMENT, " ")
+    if "\n" not in t:
+        return t
+    short = lambda x: len(x) <= FRAGMENT_CHARS[0 if _HAN.search(x) else 1]
+    return "\n".join(x + _FRAGMENT if x[-1] not in _FINAL and short(x) else x for x in map(str.strip, t.split("\n")) if x)
 
 
 def clauses(texts: Sequence[str]) -> Clauses:
@@ -119,11 +126,15 @@ def clauses(texts: Sequence[str]) -> Clauses:
     code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     if not len(code):
         z = np.zeros(0, np.int64)
-        return Clauses(z, z, z, z, z, z, z, z.astype(bool))
+        return Clauses(z, z, z, z, z, z, z, z.astype(bool), z.astype(bool), z, z, z)
     cut = np.isin(code, np.array([ord(c) for c in _CUT + "．､｡、"], np.uint32))
     han = (code >= 0x4E00) & (code <= 0x9FFF)
     latin = ((code >= 97) & (code <= 122)) | ((code >= 0xC0) & (code <= 0x24F)) | (code == 0x2019) | (code == 39)
-    opens = np.isin(code, np.array([ord(c) for c in _FINAL + "．｡\n\x00"], np.uint32))
+    opens = np.isin(code, np.array([ord(c) for c in _FINAL + "．｡\n\x00\x01"], np.uint32))
+    line = np.cumsum((code == 10) | (code == 0))
+    no_sentence = np.zeros(int(line[-1]) + 1, bool)
+    no_sentence[line[code == 1]] = True
+    blank = (code == 32) | (code == 0x3000)
     clause = np.cumsum(cut)
     doc = np.cumsum(code == 0)
     # words: polynomial hash between their ends
@@ -152,21 +163,35 @@ def clauses(texts: Sequence[str]) -> Clauses:
     count = lambda x, w=None: np.bincount(x, w, n)[used]
     letters = count(clause, latin)
     hans = count(clause, han)
-    return Clauses(doc[np.minimum(first[used] + 1, len(code) - 1)] if len(used) else used, letters + hans, count(w_clause) + hans, letters, hans, term, index[of], opens[first[used]] | (first[used] == 0))
+    within = np.minimum(first[used] + 1, len(code) - 1)
+    sentence = np.cumsum(opens)[first[used]]
+    return Clauses(
+        doc[within] if len(used) else used, letters + hans, count(w_clause) + hans, letters, hans, term, index[of], opens[first[used]] | (first[used] == 0),
+        no_sentence[line[within]] if len(used) else used.astype(bool), count(w_clause, stop - start >= 7), count(clause, ~(latin | han | cut | blank)), sentence - (sentence[0] if len(used) else 0),
+    )
 
 
 # The ranker ---------------------------------------------------------------------------------------
 
 
 def syntax(c: Clauses) -> np.ndarray:
-    """Per clause: log length in words, mean word length, share of Han characters."""
-    words = np.maximum(c.words, 1)
-    return np.stack([np.log(words), np.where(c.han > c.letters, 0, c.letters / words / 5)], 1)
+    """Per clause: log length in words, mean word length, share of long words, digits and signs a word,
+    and of its sentence: log number of clauses, log length in words."""
+    words, n = np.maximum(c.words, 1), int(c.sentence[-1]) + 1 if len(c.sentence) else 0
+    held, whole = np.bincount(c.sentence, minlength=n)[c.sentence], np.bincount(c.sentence, c.words, n)[c.sentence]
+    latin = c.han <= c.letters
+    return np.stack([
+        np.log(words), np.where(latin, c.letters / words / 5, 0), np.where(latin, c.long / words, 0), np.minimum(c.marks / words, 2),
+        np.log(np.maximum(held, 1)), np.log(np.maximum(whole, 1)),
+    ], 1)
+
+
+SYNTAX = 6
 
 
 def hashed(c: Clauses, n_docs: int) -> np.ndarray:
     """Per text: means of the syntax features and shares of word buckets."""
-    x = np.zeros((n_docs, SMALL + 2))
+    x = np.zeros((n_docs, SMALL + SYNTAX))
     np.add.at(x, (c.doc[c.of], c.term % SMALL), 1.0)
     x[:, :SMALL] /= np.maximum(x[:, :SMALL].sum(1, keepdims=True), 1)
     n = np.maximum(np.bincount(c.doc, minlength=n_docs), 1)
@@ -278,17 +303,18 @@ def clause_levels(c: Clauses, n: int, first: FirstRanker, evidence: np.ndarray,
     for b in range(5):
         words[:, b] = 0.5 * np.bincount(c.of, found[:, b], len(c.doc))
     prior = first.prior(c, n)
+    told = np.where(c.fragment, 0.02, 1.0) * c.chars  # a text of fragments only is told by them
     for _ in range(rounds):
         s = words + np.log(0.9 * prior[c.doc] + 0.02)
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        prior = np.stack([np.bincount(c.doc, p[:, b] * c.chars, n) for b in range(5)], 1)
+        prior = np.stack([np.bincount(c.doc, p[:, b] * told, n) for b in range(5)], 1)
         prior /= np.maximum(prior.sum(1, keepdims=True), 1e-9)
     return p
 
 
 def sentence_weight(c: Clauses, n: int, opening: np.ndarray) -> np.ndarray:
-    """1 for a clause that opens a sentence, near 0 for one that continues it.
+    """1 for a clause that opens a sentence, near 0 for one that continues it or is in a fragment.
 
     Told from its words and not from the mark before it: in some texts every comma has become a full
     stop, in others whole sentences are strung together by commas. opening is word evidence for
@@ -296,7 +322,11 @@ def sentence_weight(c: Clauses, n: int, opening: np.ndarray) -> np.ndarray:
     """
     e = opening[language_of(c, n)[c.doc][c.of], c.term]
     odds = 0.5 * np.bincount(c.of, e[:, 0] - e[:, 1], len(c.doc))
-    return np.where(odds > 0, 1.0, 0.02)
+    return np.where((odds > 0) & ~c.fragment, 1.0, 0.02)
+
+
+#: Weight of a syntax feature in standard deviations, against 1 for the vocabulary.
+SYNTAX_STRENGTH = 0.15
 
 
 @dataclass
@@ -317,8 +347,8 @@ class FinalRanker:
         f = cls.features(c, clause_levels(c, n, first, evidence))
         held = np.maximum(np.bincount(c.doc, minlength=n), 1)
         x = np.stack([np.bincount(c.doc, f[:, k], n) / held for k in range(f.shape[1])], 1)
-        # a clause's length says less of it than a passage's mean length of the passage
-        w = fit_ranker(x, band, lang, strength=(1, 0.15, 0.15))
+        # a clause's syntax says less of it than a passage's mean syntax of the passage
+        w = fit_ranker(x, band, lang, strength=(1, *[SYNTAX_STRENGTH] * SYNTAX))
         # clauses are what is scored, so clauses of the passages calibrate the scores
         score, of = f @ w, lang[c.doc]
         return cls(w, [isotonic(score[of == g], band[c.doc][of == g], 0.02 * (of == g).sum()) if (of == g).any() else (np.zeros(1), np.array([3.0])) for g in (0, 1)])
@@ -358,7 +388,7 @@ def corpus_evidence(texts: DataFrame, first: FirstRanker) -> tuple[np.ndarray, n
     shared = texts.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = shared.value, np.zeros((2, BUCKETS, 7), np.float32)
+        model, counts = shared.value, np.zeros((2, BUCKETS, 7))
         for b in batches:
             rows = b.column("_t").to_pylist()
             for at in _slices(rows):
@@ -378,7 +408,7 @@ def corpus_evidence(texts: DataFrame, first: FirstRanker) -> tuple[np.ndarray, n
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(flat[used, k].astype(np.float64)) for k in range(7)]], names=["w", *[f"c{k}" for k in range(7)]])
 
     parts = texts.mapInArrow(run, "w long, " + ", ".join(f"c{k} double" for k in range(7)))
-    t = parts.groupBy("w").agg(*[F.sum(f"c{k}").cast("float").alias(f"c{k}") for k in range(7)]).toArrow()  # 2 x BUCKETS rows at most
+    t = parts.groupBy("w").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(7)]).toArrow()  # 2 x BUCKETS rows at most
     counts = np.zeros((2 * BUCKETS, 7))
     counts[t.column("w").to_numpy()] = np.stack([t.column(f"c{k}").to_numpy() for k in range(7)], 1)
     counts = counts.reshape(2, BUCKETS, 7)

@@ -72,10 +72,13 @@ def test_wrapped_texts_are_whole():
     zh = "支持培训应用\n澹屏港函〔2033〕97号\n" + "小明把苹果放到车上，我喜欢篮子。姐姐和农民坐在桥头等车回家吃午饭。" * 5
     for text, width in ((en, 70), (zh, 38), (zh, 25)):
         flat = "\n".join(text[i : i + width] for i in range(0, len(text), width))
-        assert R.plain(flat) == R.plain(text) and len(R.plain(text)) > 0.8 * len(text)
+        assert R.plain(flat) == R.plain(text) and len(R.plain(text)) >= len(text) - 2
     body = " ".join(f"The council of place number {i} chose to move the parking area" for i in range(20)) + "."
-    assert R.plain("Build A Network\nRef. 12\n" + "\n".join(textwrap.wrap(body, 60))) == body
-    assert R.plain("Build A Network\nRef. 12\nBuses run.\n5 November 2034") == "Buses run."
+    head = "Build A Network\x01\nRef. 12\x01\n"
+    assert R.plain("Build A Network\nRef. 12\n" + "\n".join(textwrap.wrap(body, 60))) == head + body
+    notice = R.plain("Build A Network\nRef. 12\nBuses run.\n5 November 2034")
+    assert notice == head + "Buses run.\n5 November 2034\x01"
+    assert R.clauses([notice]).fragment.tolist() == [True, True, False, True]  # no word is left out
 
 
 def test_wrapping_keeps_the_band(spark, tables):
