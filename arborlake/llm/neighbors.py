@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from arborlake.runtime import Stage, require_columns
 
 SHARD_ROWS = 16_384
+#: Beyond MAX_SHARDS shards blocks grow up to so many rows (64 MB of 64 floats) before a region is split by
+#: hash: up to about a thousand million rows a query's work grows with the logarithm of the rows only.
+BLOCK_ROWS = 262_144
+MAX_SHARDS = 4_096
 LEAF_ROWS = 256
 #: Rows of the sample that places the shards' cuts, at most; every row is indexed nevertheless.
 SAMPLE_ROWS = 32_768
@@ -203,7 +207,8 @@ def knn(corpus: DataFrame, queries: DataFrame, dim: int, k: int = 10, factor: fl
     own neighbour: equal ids are left out, equal vectors under other ids are not. Ties take the
     smaller id. factor relaxes the pruning (1: exact), probe is the width of the first step in
     standard deviations of the distances. A region that holds many rows or equal vectors is split by
-    the hash of the id, so no block exceeds about shard_rows; queries of a block are split as well.
+    the hash of the id, so no block exceeds about shard_rows (BLOCK_ROWS in very large tables); queries of
+    a block are split as well.
     Empty tables give an empty result; fewer than k others give fewer rows.
     """
     spark = corpus.sparkSession
@@ -212,7 +217,8 @@ def knn(corpus: DataFrame, queries: DataFrame, dim: int, k: int = 10, factor: fl
     n = corpus.count() if total is None else total
     if not n:
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, similarity float, rank int")
-    cuts = max(0, min(12, math.ceil(math.log2(max(1, n / shard_rows)))))
+    cuts = max(0, min(int(math.log2(MAX_SHARDS)), math.ceil(math.log2(max(1, n / shard_rows)))))
+    block_rows = max(shard_rows, min(BLOCK_ROWS, n // MAX_SHARDS))
     want = min(SAMPLE_ROWS, max(4096, 256 << cuts))
     step = max(1, n // want)
     sample = corpus if step == 1 else corpus.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
@@ -221,7 +227,7 @@ def knn(corpus: DataFrame, queries: DataFrame, dim: int, k: int = 10, factor: fl
         x = np.zeros((1, dim), np.float32)
     top = VantageTree.build(x, max(1, math.ceil(len(x) / (1 << cuts))), halves=True)
     held = np.bincount(top.place(x), minlength=top.leaves) * (n / len(x))
-    parts = np.maximum(1, np.ceil(held / (1.5 * shard_rows))).astype(np.int64)
+    parts = np.maximum(1, np.ceil(held / (1.5 * block_rows))).astype(np.int64)
     width = float(probe * _distance(x, _vantage_point(x, np.random.default_rng(3))).std())
     shared = spark.sparkContext.broadcast((top, parts))  # at most 4,095 points
 
@@ -269,7 +275,8 @@ def knn(corpus: DataFrame, queries: DataFrame, dim: int, k: int = 10, factor: fl
         return run
 
     def step_of(asked: DataFrame, first: bool) -> DataFrame:
-        routed = asked.mapInArrow(route(first), f"shard long, qid {kind}, v array<float>, tau double, margin double")
+        # staged, so that routing runs once for the counts and the search
+        routed = stage.save(asked.mapInArrow(route(first), f"shard long, qid {kind}, v array<float>, tau double, margin double"))
         counts = routed.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("chunks"))
         big = {r.shard: r.chunks for r in counts.filter("chunks > 1").collect()}  # one row per busy block at most
         chunk, spread = F.lit(0), blocks.withColumn("chunk", F.lit(0))

@@ -127,9 +127,10 @@ class BytePairEncoder:
         offsets, flat = self.encode_flat(texts)
         return [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Iterable[int], errors: str = "strict") -> str:
+        """Text of the ids; errors as in bytes.decode, for ids that cut a character in two."""
         pieces = "".join(self.model.id_to_piece(int(i)) for i in ids)
-        return pieces.translate(self.back).encode("latin-1").decode("utf-8")
+        return pieces.translate(self.back).encode("latin-1").decode("utf-8", errors)
 
 
 def _model(name: str, folder: str | None) -> bytes:
@@ -162,15 +163,16 @@ def encode_texts(df: DataFrame, key: str, text: str = "text", tokenizer: str = "
     return keyed.mapInArrow(run, f"_k {kind}, " + ("ids array<int>, " if ids else "") + "n_tokens long").withColumnRenamed("_k", key)
 
 
-def decode_ids(df: DataFrame, key: str, ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """(key, text): the inverse of encode_texts; null ids give a null text."""
+def decode_ids(df: DataFrame, key: str, ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str | None = None, errors: str = "replace") -> DataFrame:
+    """(key, text): the inverse of encode_texts; null ids give a null text. Ids that cut a character in
+    two give a replacement character (errors="strict" raises, "ignore" leaves it out)."""
     model = df.sparkSession.sparkContext.broadcast(_model(tokenizer, folder))
     keyed = df.select(F.col(key).alias("_k"), F.col(ids).alias("_i"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BytePairEncoder(model.value)
         for batch in batches:
-            texts = [None if r is None else coder.decode(r) for r in batch.column(1).to_pylist()]
+            texts = [None if r is None else coder.decode(r, errors) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_k", "text"])
 
     return keyed.mapInArrow(run, f"_k {keyed.schema['_k'].dataType.simpleString()}, text string").withColumnRenamed("_k", key)

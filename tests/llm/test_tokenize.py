@@ -49,3 +49,9 @@ def test_frames(spark):
     back = {r.doc_id: r.text for r in T.decode_ids(T.encode_texts(df, "doc_id"), "doc_id").collect()}
     assert back == {1: "", 2: "", 3: "ab", 4: long}
     assert T.encode_texts(df.limit(0), "doc_id").count() == 0
+    cut = spark.createDataFrame([(1, coder_ids("货")[:1]), (2, None)], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in T.decode_ids(cut, "doc_id").collect()} == {1: "\N{REPLACEMENT CHARACTER}", 2: None}
+
+
+def coder_ids(text):
+    return T.BytePairEncoder(T._model("byte_bpe_50k", None)).encode_batch([text])[0]
