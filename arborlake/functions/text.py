@@ -239,6 +239,11 @@ def granularity(titles: Column) -> Column:
     return F.when(macro, "macro").when(meso, "meso").otherwise("micro")
 
 
+def granularity_confidence(g: Column) -> Column:
+    """GR-12: confidence of the rule's answer."""
+    return F.when(g == "micro", 0.6).otherwise(0.7)  # Fixed values
+
+
 # Heading level to tier by granularity.
 TIERS = {"macro": ("T1", "T2", "T3", "T4"), "meso": ("T2", "T3", "T4", "T4"), "micro": ("T3", "T4", "T4", "T4")}
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.runtime import lookup
+
 # Statuses worth another attempt.
 RETRYABLE = (408, 409, 425, 429)
 
@@ -138,7 +140,8 @@ def overlap_scores(pairs: DataFrame, texts: DataFrame, key: str = "id", text: st
     from arborlake.functions.text import jaccard, tokens
 
     t = texts.select(F.col(key).alias("_i"), tokens(F.col(text)).alias("_t"))
-    a = pairs.join(t.select(F.col("_i").alias("id_a"), F.col("_t").alias("_a")), "id_a", "left").join(t.select(F.col("_i").alias("id_b"), F.col("_t").alias("_b")), "id_b", "left")
+    a = lookup(pairs, t.select(F.col("_i").alias("_ia"), F.col("_t").alias("_a")), "id_a", "_ia", "id_b", "left").drop("_ia")
+    a = lookup(a, t.select(F.col("_i").alias("_ib"), F.col("_t").alias("_b")), "id_b", "_ib", "id_a", "left").drop("_ib")
     empty = F.array().cast("array<string>")
     return a.withColumn("rerank_score", jaccard(F.coalesce("_a", empty), F.coalesce("_b", empty))).drop("_a", "_b")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.text import jaccard, node_id, tokens
 from arborlake.operators.ranking import full_rank
-from arborlake.runtime import Stage, hot_keys, skew_join
+from arborlake.runtime import Stage, hot_keys, lookup, skew_join
 
 
 #: Top-level categories of a definition list, at most.
@@ -31,7 +31,9 @@ def contract_edges(pairs: DataFrame, members: DataFrame, score: str = "sim") ->
     of scores is spread over tasks and never one list.
     """
     m = members.select("node_id", "member_id").distinct()
-    mapped = pairs.join(m.select(F.col("member_id").alias("id_a"), F.col("node_id").alias("na")), "id_a").join(m.select(F.col("member_id").alias("id_b"), F.col("node_id").alias("nb")), "id_b")
+    one, other = m.select(F.col("member_id").alias("_ma"), F.col("node_id").alias("na")), m.select(F.col("member_id").alias("_mb"), F.col("node_id").alias("nb"))
+    # an id may hold a large share of all pairs; a member of several nodes counts in each
+    mapped = lookup(lookup(pairs, one, "id_a", "_ma", "id_b"), other, "id_b", "_mb", "id_a")
     ends = mapped.filter("na <> nb").select(F.least("na", "nb").alias("node_a"), F.greatest("na", "nb").alias("node_b"), F.col(score).cast("double").alias("s")).filter("s is not null")
     keyed = ends.withColumn("_g", F.struct(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     ranked = full_rank(keyed, "_g", [F.asc("s")], "_r", total="_t")
@@ -46,7 +48,8 @@ def contract_edges(pairs: DataFrame, members: DataFrame, score: str = "sim") ->
 def high_graph(edges: DataFrame, nodes: DataFrame, threshold: float, score: str = "sim", key: str = "id") -> DataFrame:
     """GR-01: symmetric (a, b) of edges at or above the threshold with both ends among the nodes."""
     ids = nodes.select(F.col(key).alias("_id")).distinct()
-    kept = edges.filter(F.col(score) >= threshold).join(ids, F.col("id_a") == F.col("_id"), "left_semi").join(ids, F.col("id_b") == F.col("_id"), "left_semi")
+    kept = edges.filter(F.col(score) >= threshold).select("id_a", "id_b")
+    kept = lookup(lookup(kept, ids, "id_a", "_id", "id_b", "left_semi"), ids, "id_b", "_id", "id_a", "left_semi")
     one = kept.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
 
@@ -75,6 +78,8 @@ def components(nodes: DataFrame, graph: DataFrame, key: str = "id", max_rounds:
         stage.drop(before)
         if (seen["n"], seen["h"]) == (old["n"], old["h"]):
             break
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     star = edges.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.select(F.col(key).alias("id")).distinct().join(star, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 

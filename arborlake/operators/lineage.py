@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.runtime import Stage, hot_keys, skew_join
+from arborlake.runtime import Stage, hot_keys, lookup, skew_join
 
 
 def chase(redirects: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -53,7 +53,8 @@ def log_redirects(ops: DataFrame) -> DataFrame:
 def apply_redirects(df: DataFrame, redirects: DataFrame, column: str) -> DataFrame:
     """TR-19: column replaced by its chased target where it has one."""
     r = redirects.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
-    return df.join(r, F.col(column) == F.col("_s"), "left").withColumn(column, F.coalesce("_d", column)).drop("_s", "_d")
+    salt_on = next((c for c in df.columns if c != column), column)
+    return lookup(df, r, column, "_s", salt_on, "left").withColumn(column, F.coalesce("_d", column)).drop("_s", "_d")
 
 
 def initial_nodes(*memberships: DataFrame) -> DataFrame:

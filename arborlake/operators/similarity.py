@@ -7,7 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2_048
+from arborlake.runtime import Stage
+
+#: Rows of the two sides of a task of the exact search.
+SHARD_ROWS, BLOCK_ROWS = 65_536, 16_384
 
 
 def norm(v: Column) -> Column:
@@ -36,37 +39,44 @@ def cosine_unit(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot(a, b) / n + 1) / 2))), F.lit(0.0))
 
 
-def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "v", shards: int | None = None) -> DataFrame:
+def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "v", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """VC-02: (id_a, id_b, sim, rank_pos) of the k nearest rows of the corpus by cosine for each query.
 
-    Query blocks of bounded size meet corpus shards of bounded number; each meeting is one matrix
-    product that leaves k rows a query. Rows are excluded by id, so equal vectors count. rank_pos
-    starts at 0; ties take the smaller id. Zero vectors have similarity 0 to everything.
+    Corpus and queries are cut into shards and blocks of bounded size, by their number of rows; each
+    meeting of a block and a shard is a task of its own: one matrix product that leaves k rows a
+    query. Rows are excluded by id, so equal vectors count. rank_pos starts at 0; ties take the
+    smaller id. Zero vectors have similarity 0 to everything; rows without a vector drop out.
     """
-    spark = corpus.sparkSession
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = corpus.schema[key].dataType.simpleString()
-    side = lambda df: df.select(F.col(key).alias("id"), l2_normalize(F.col(vector)).alias("v"))
-    right = side(corpus).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)))
-    left = side(queries).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    side = lambda df: df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), l2_normalize(F.col(vector)).alias("v"))
+    stage = Stage(corpus.sparkSession, "knn")
+    right, n = stage.save(side(corpus), {"n": F.count(F.lit(1))})
+    left, m = stage.save(side(queries), {"n": F.count(F.lit(1))})
+    shards, blocks = max(1, -(-n["n"] // shard_rows)), max(1, -(-m["n"] // block_rows))
+    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
+    right = right.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks))
+    left = left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("shard", every(shards))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
 
     def meet(b: pa.Table, a: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
+        i, j, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(a) and len(b):
-            ids_a, ids_b = a.column("id").to_pylist(), np.array(b.column("id").to_pylist(), object)
-            x = np.array(a.column("v").to_pylist())
-            y = np.array(b.column("v").to_pylist())
-            for at in range(0, len(x), BLOCK_ROWS):
-                s = x[at : at + BLOCK_ROWS] @ y.T
-                m = min(k + 1, s.shape[1])
-                kth = np.partition(s, s.shape[1] - m, 1)[:, -m]
-                for i, j in zip(*np.nonzero(s >= kth[:, None] - 1e-12)):
-                    if ids_a[at + i] != ids_b[j]:
-                        rows.append((ids_a[at + i], ids_b[j], float(s[i, j])))
-        out = list(zip(*rows)) or [[], [], []]
-        return pa.table({"id_a": pa.array(out[0], a.schema.field("id").type), "id_b": pa.array(out[1], a.schema.field("id").type), "sim": pa.array(out[2], pa.float64())})
-
-    found = right.groupBy("shard").cogroup(left.groupBy("shard")).applyInArrow(meet, f"id_a {kind}, id_b {kind}, sim double")
+            x, y = matrix(a), matrix(b)
+            for at in range(0, len(x), 512):
+                s = x[at : at + 512] @ y.T
+                some = min(k + 1, s.shape[1])
+                kth = np.partition(s, s.shape[1] - some, 1)[:, -some]
+                p, q = np.nonzero(s >= kth[:, None] - 1e-12)
+                i.append(p + at)
+                j.append(q)
+                sims.append(s[p, q])
+        ids = lambda t, rows: t.column("id").combine_chunks().take(pa.array(np.concatenate(rows)))
+        one, two = ids(a, i), ids(b, j)
+        return pa.table({"id_a": one, "id_b": two, "sim": pa.array(np.concatenate(sims))}).filter(pa.compute.not_equal(one, two))
+
+    found = right.groupBy("shard", "block").cogroup(left.groupBy("shard", "block")).applyInArrow(meet, f"id_a {kind}, id_b {kind}, sim double")
     w = Window.partitionBy("id_a").orderBy(F.desc(F.round("sim", 12)), "id_b")
     return found.withColumn("rank_pos", F.row_number().over(w) - 1).filter(F.col("rank_pos") < k)
 

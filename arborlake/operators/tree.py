@@ -109,7 +109,8 @@ def absorb(tree: DataFrame, merges: DataFrame) -> DataFrame:
 
     final = chase(m).join(ids, "dst", "left_semi")
     kept = tree.join(final.select(F.col("src").alias("node_id")), "node_id", "left_anti")
-    return kept.join(final.select(F.col("src").alias("_s"), F.col("dst").alias("_d")), F.col("parent_id") == F.col("_s"), "left").withColumn("parent_id", F.when(F.col("_d").isNotNull() & (F.col("_d") != F.col("node_id")), F.col("_d")).otherwise(F.col("parent_id"))).drop("_s", "_d")
+    ends = final.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+    return skew_join(kept, ends, "parent_id", "_s", find_hot(kept, "parent_id"), "node_id", "left").withColumn("parent_id", F.when(F.col("_d").isNotNull() & (F.col("_d") != F.col("node_id")), F.col("_d")).otherwise(F.col("parent_id"))).drop("_s", "_d")
 
 
 def promotable(tree: DataFrame) -> DataFrame:

@@ -90,10 +90,9 @@ def wn11(spark, d):
 
 
 @query("wn13_sliding_pairs", """with o as (select doc_id, issuer_id, row_number() over (partition by source, issuer_id order by doc_id) ord, source from documents where issuer_id is not null and source is not null)
- select a.doc_id id_a, b.doc_id id_b from o a join o b on a.source = b.source and a.issuer_id = b.issuer_id and b.ord between a.ord + 1 and a.ord + 3""")
+ select a.doc_id id_a, b.doc_id id_b from o a join o b on a.source = b.source and a.issuer_id = b.issuer_id and b.ord between a.ord + 1 and a.ord + 49""")
 def wn13(spark, d):
-    """Each row with the next 49 of its group; one issuer holds a tenth of the rows. The SQL has the
-    next 3 only."""
+    """Each row with the next 49 of its group; one issuer holds a tenth of the rows."""
     docs = table(spark, d, "documents").select("doc_id", "source", "issuer_id")
     return sliding_pairs(docs, ["source", "issuer_id"], [F.col("doc_id")], "doc_id", 49)
 
@@ -107,14 +106,15 @@ def jn15(spark, d):
 
 
 @query("gr12_granularity", f"""with {B}, g as (select source, string_agg(title, ' ' order by doc_id) j from (select *, row_number() over (partition by source order by doc_id) rn from documents where title is not null) where rn <= 10 group by source)
- select source, case when regexp_matches(j, '体系|框架|战略|布局') then 'macro' when regexp_matches(j, '^(完善|提升|加强|优化|统筹|推进|发展|建设)') then 'meso' else 'micro' end granularity from g""")
+, k as (select source, case when regexp_matches(j, '体系|框架|战略|布局') then 'macro' when regexp_matches(j, '^(完善|提升|加强|优化|统筹|推进|发展|建设)') then 'meso' else 'micro' end granularity from g)
+ select source, granularity, case granularity when 'micro' then 0.6::double else 0.7::double end confidence from k""")
 def gr12(spark, d):
-    from arborlake.functions.text import granularity
+    from arborlake.functions.text import granularity, granularity_confidence
 
     docs = table(spark, d, "documents").filter("title is not null").select("source", "doc_id", "title")
     top = docs.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("r <= 10")  # limited before the shuffle
     joined = top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "title"))), lambda x: x["title"]), " ").alias("j"))
-    return joined.select("source", granularity(F.col("j")).alias("granularity"))
+    return joined.select("source", granularity(F.col("j")).alias("granularity")).withColumn("confidence", granularity_confidence(F.col("granularity")))
 
 
 @query("ag22_group_units", f"with {B} select doc, lvl as level, string_agg(t, '|' order by pos) units, count(*) n from b where body group by all")

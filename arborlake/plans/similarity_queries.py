@@ -4,12 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlake.functions import text as T
+from arborlake.operators import duplicates as U
 from arborlake.operators import graph as G
 from arborlake.operators import similarity as S
 from arborlake.operators.ranking import full_rank
 from arborlake.plans import query
 from arborlake.plans.text_queries import s_tokens
-from arborlake.runtime import Stage, table
+from arborlake.runtime import Stage, lookup, table
 
 K, LOCAL = 20, 10
 
@@ -140,26 +141,75 @@ def vc14(spark, d):
     return j.select("id_a", "id_b", F.round(S.blend((F.col("sim") + 1) / 2, (F.col("la") == F.col("lb")).cast("double")), 5).alias("s"))
 
 
-@query("vc15_near_duplicates", KNN + " select id_a, id_b from n where id_a < id_b and (la = lb and sim >= 0.35 or sim >= 0.38)")
+# corpus samples as nodes: the document is the parent ------------------------------------------------
+
+
+def samples(spark, d):
+    """Newest row of every sample: node_id, parent_id (its document), label, v (null when unusable)."""
+    t = table(spark, d, "policy_corpus_embeddings")
+    newest = t.groupBy(F.col("sample_id").alias("node_id")).agg(F.max_by(F.struct(F.col("text_for_embed").alias("l"), F.col("vector").alias("v")), "loaded_at").alias("x"))
+    v = F.col("x.v").cast("array<double>")
+    good = (F.size(v) == 64) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return newest.select("node_id", F.split_part("node_id", F.lit("_"), F.lit(1)).alias("parent_id"), F.lit("L3").alias("level"), F.col("x.l").alias("label"), F.when(good, v).alias("v"))
+
+
+_SAMPLES = f"""with smp as (select sample_id node_id, split_part(sample_id, '_', 1) parent_id, arg_max(struct_pack(l := text_for_embed, v := vector), loaded_at) x from policy_corpus_embeddings group by all),
+n as (select node_id, parent_id, x.l label, list_sort(list_distinct({s_tokens('x.l')})) t,
+ case when len(x.v) = 64 and len(list_filter(x.v, lambda z: z is not null and isfinite(z))) = 64 and len(list_filter(x.v, lambda z: z <> 0)) > 0 then list_transform(x.v, lambda z: coalesce(z, 0)::double) end v from smp)"""
+
+
+def _over(a, b):
+    both = f"len(list_intersect({a}, {b}))"
+    return f"case when len({a}) + len({b}) = 0 then 0.0::double else {both}::double / (len({a}) + len({b}) - {both}) end"
+
+
+def _unit(a, b):
+    return f"coalesce((list_cosine_similarity({a}, {b}) + 1) / 2, 0.0::double)"
+
+
+@query("vc15_near_duplicates", _SAMPLES + f""", p as (select distinct id_a, id_b from policy_similarity_rerank_edges)
+select id_a, id_b from p join n a on a.node_id = id_a join n b on b.node_id = id_b where {_over('a.t', 'b.t')} >= 0.75::double or {_unit('a.v', 'b.v')} >= 0.85::double""")
 def vc15(spark, d):
-    """Quick check: overlap at one threshold or cosine at the other; here same label and cosine."""
-    n = knn(spark, d).filter("id_a < id_b")
-    lab = vectors(spark, d).select("id", "label")
-    j = n.join(lab.select(F.col("id").alias("id_a"), F.col("label").alias("la")), "id_a").join(lab.select(F.col("id").alias("id_b"), F.col("label").alias("lb")), "id_b")
-    return j.filter("(la = lb and sim >= 0.35) or sim >= 0.38").select("id_a", "id_b")
+    """Scored pairs of samples that pass the quick check: overlap or cosine."""
+    n = samples(spark, d)
+    pairs = table(spark, d, "policy_similarity_rerank_edges").select("id_a", "id_b").distinct()
+    a = lookup(pairs, n.select(F.col("node_id").alias("_a"), F.col("label").alias("la"), F.col("v").alias("va")), "id_a", "_a", "id_b")
+    b = lookup(a, n.select(F.col("node_id").alias("_b"), F.col("label").alias("lb"), F.col("v").alias("vb")), "id_b", "_b", "id_a")
+    return b.filter(U.quick_check(F.col("la"), F.col("lb"), F.col("va"), F.col("vb"), 0.75, 0.85)).select("id_a", "id_b")
+
 
+@query("tr17_sibling_merge_candidates", _SAMPLES + f""", c as (select *, min(node_id) over (partition by parent_id, t, v) class_id from n), r as (select * from c where node_id = class_id),
+p as (select a.node_id id_a, b.node_id id_b, {_over('a.t', 'b.t')} >= 0.75::double by_overlap, {_unit('a.v', 'b.v')} >= 0.85::double by_cosine from r a join r b on a.parent_id = b.parent_id and a.node_id < b.node_id)
+select * from p where by_overlap or by_cosine""")
+def tr17(spark, d):
+    """Sibling merge pass: pairs of sibling classes at one of the thresholds."""
+    return U.sibling_duplicates(samples(spark, d))[0]
 
-_PAIR = """with n as (select node_id, max(label) label from tree_nodes_l3 where label is not null group by node_id),
-l as (select distinct child_id, parent_id from tree_parent_links_l4_to_l3 where parent_id is not null)"""
 
+@query("tr17_sibling_classes", _SAMPLES + " select node_id id, min(node_id) over (partition by parent_id, t, v) class_id from n")
+def tr17_classes(spark, d):
+    """Class of every sibling: same tokens, same vector."""
+    return U.sibling_duplicates(samples(spark, d))[1]
 
-@query("vc16_parent_child_overlap", _PAIR + f", j as (select l.child_id, l.parent_id, list_distinct({s_tokens('a.label')}) x, list_distinct({s_tokens('b.label')}) y from (select child_id, parent_id from tree_parent_links_l3_to_l2 union select child_id, parent_id from l) l join n a on a.node_id = l.child_id join n b on b.node_id = l.parent_id) select child_id, parent_id from j where len(x) + len(y) > 0 and len(list_intersect(x, y))::double / (len(x) + len(y) - len(list_intersect(x, y))) >= 0.1::double")
+
+@query("tr17_cross_parent_unify", _SAMPLES + f""", o as (select *, row_number() over (order by node_id) r from n)
+select a.node_id id_a, b.node_id id_b from o a join o b on b.r between a.r + 1 and a.r + 49 and a.parent_id <> b.parent_id where {_over('a.t', 'b.t')} >= 0.80::double or {_unit('a.v', 'b.v')} >= 0.90::double""")
+def tr17_cross(spark, d):
+    """Cross-parent unify pass: nodes of a level with its next 49, other parents only."""
+    return U.cross_parent_duplicates(samples(spark, d), [F.col("node_id")])
+
+
+@query("vc16_parent_child_overlap", _SAMPLES + f""", e as (select parent_id, unnest(v) x, unnest(range(64)) i from n where v is not null), m as (select parent_id, i, avg(x) x from e group by all),
+par as (select parent_id, min(label) label from n group by 1), cen as (select parent_id, list(x order by i) v from m group by 1),
+f as (select par.parent_id, list_distinct({s_tokens('par.label')}) t, cen.v from par left join cen on cen.parent_id = par.parent_id)
+select n.node_id child_id, n.parent_id from n join f on f.parent_id = n.parent_id where not ({_over('n.t', 'f.t')} < 0.3::double and {_unit('n.v', 'f.v')} < 0.5::double)""")
 def vc16(spark, d):
-    """Parent-child pairs whose labels overlap enough to be looked at."""
-    n = table(spark, d, "tree_nodes_l3").filter("label is not null").groupBy("node_id").agg(F.max("label").alias("label"))
-    l = table(spark, d, "tree_parent_links_l3_to_l2").select("child_id", "parent_id").union(table(spark, d, "tree_parent_links_l4_to_l3").select("child_id", "parent_id")).distinct()
-    j = l.join(n.select(F.col("node_id").alias("child_id"), F.col("label").alias("a")), "child_id").join(n.select(F.col("node_id").alias("parent_id"), F.col("label").alias("b")), "parent_id")
-    return j.filter(T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("b"))) >= 0.1).select("child_id", "parent_id")
+    """Samples worth a decision beside their document, whose vector is the mean of its samples'."""
+    n = samples(spark, d)
+    mean = S.centroid_vectors(S.centroids(n.select("parent_id", "node_id"), n.filter("v is not null").select(F.col("node_id").alias("id"), "v"), "parent_id", "node_id"), "parent_id")
+    parents = n.groupBy("parent_id").agg(F.min("label").alias("pl")).join(mean.withColumnRenamed("v", "pv"), "parent_id", "left").withColumnRenamed("parent_id", "_p")
+    j = lookup(n, parents, "parent_id", "_p", "node_id")
+    return j.filter(U.redundant_pair(F.col("label"), F.col("pl"), F.col("v"), F.col("pv"))).select(F.col("node_id").alias("child_id"), "parent_id")
 
 
 @query("vc17_zero_vectors", "select count(*) filter (vector is null) filled, count(*) n from policy_corpus_embeddings")
@@ -355,10 +405,10 @@ def child_labels(rows, size):
     return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), "|").alias("labels"))
 
 
-@query("jn13_child_labels", "select parent_id, string_agg(label, '|' order by label, child_id) labels from (select distinct l.child_id, l.parent_id, n.label from (select distinct child_id, parent_id from tree_parent_links_l3_to_l2) l join (select node_id, max(label) label from tree_nodes_l3 where label is not null group by 1) n on n.node_id = l.child_id), (select 1) group by parent_id having count(*) <= 100")
+@query("jn13_child_labels", "with r as (select l.child_id, l.parent_id, n.label, row_number() over (partition by l.parent_id order by n.label, l.child_id) r from (select distinct child_id, parent_id from tree_parent_links_l3_to_l2) l join (select node_id, max(label) label from tree_nodes_l3 where label is not null group by 1) n on n.node_id = l.child_id) select parent_id, cast((r - 1) // 100 as integer) chunk, string_agg(label, '|' order by r) labels from r group by all")
 def jn13(spark, d):
     """Labels of the children of every parent, in order; a parent of more than 100 children has
-    several rows of at most 100 labels, so that none is one huge row. The SQL leaves those parents out."""
+    several rows of at most 100 labels, so that none is one huge row."""
     n = table(spark, d, "tree_nodes_l3").filter("label is not null").groupBy("node_id").agg(F.max("label").alias("label"))
     l = table(spark, d, "tree_parent_links_l3_to_l2").select("child_id", "parent_id").distinct()
-    return child_labels(l.join(n, F.col("child_id") == F.col("node_id")), 100).select("parent_id", "labels")
+    return child_labels(l.join(n, F.col("child_id") == F.col("node_id")), 100)

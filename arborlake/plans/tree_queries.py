@@ -142,7 +142,19 @@ def link_tree(spark, d):
     return l.select(F.col("node").alias("node_id"), F.lit("").alias("label"), F.substring("node", 1, 2).alias("level"), F.col("parent").alias("parent_id"), F.lit(0).cast("long").alias("ord"))
 
 
-@query("tr14_flatten_depth")
+def _flatten_sql(rounds=10, deepest=4, most=3):
+    """Every round as CTEs of its own: nodes that go (h), where their children land (e), the rest (f)."""
+    sql = _CLIMB + f""", f0 as materialized (select n.node, n.parent, solved.met = len(solved.path) and len(solved.path) - 1 >= {deepest} deep from n join solved on solved.node = n.node)"""
+    for i in range(rounds):
+        sql += f""",
+h{i} as materialized (select f.node src, f.parent dst from f{i} f join (select parent p, count(*) k from f{i} where parent is not null group by 1) on p = f.node where f.deep and k <= {most}),
+c{i}(src, cur) as (select src, dst from h{i} union all select c{i}.src, h{i}.dst from c{i} join h{i} on h{i}.src = c{i}.cur),
+e{i} as materialized (select src, cur from c{i} where cur not in (select src from h{i})),
+f{i + 1} as materialized (select f.node, coalesce(e.cur, f.parent) parent, f.deep from f{i} f left join e{i} e on e.src = f.parent where f.node not in (select src from h{i}))"""
+    return sql + f" select node node_id, parent parent_id from f{rounds}"
+
+
+@query("tr14_flatten_depth", _flatten_sql())
 def tr14(spark, d):
     return R.flatten_depth(link_tree(spark, d)).select("node_id", "parent_id")
 
@@ -160,26 +172,17 @@ def tr16(spark, d):
     return R.tree_paths(tree(spark, d)).select("node_id", "depth")
 
 
-@query("tr17_sibling_merge_candidates", TREE + ", r as (select node_id, parent_id, label, min(node_id) over (partition by parent_id, label) winner from t where parent_id is not null and label <> '') select winner, node_id loser from r where node_id <> winner")
-def tr17(spark, d):
-    """Siblings with one label merge into the smallest: one row per loser, no pairs."""
-    t = tree(spark, d).filter("parent_id is not null and label <> ''")
-    win = t.groupBy("parent_id", "label").agg(F.min("node_id").alias("winner"))
-    return t.join(win, ["parent_id", "label"]).filter("node_id <> winner").select("winner", F.col("node_id").alias("loser"))
-
-
-@query("jn10_sibling_pairs", TREE + " select a.node_id id_a, b.node_id id_b from t a join t b on a.parent_id = b.parent_id and a.ord < b.ord where a.level in ('L1', 'L2') and b.level in ('L1', 'L2')")
+@query("jn10_sibling_pairs", TREE + ", o as (select node_id, parent_id, row_number() over (partition by parent_id order by ord, node_id) r from t where parent_id is not null) select a.node_id id_a, b.node_id id_b from o a join o b on a.parent_id = b.parent_id and b.r between a.r + 1 and a.r + 49")
 def jn10(spark, d):
-    """Ordered pairs of siblings of the upper levels, whose fan-out the tree bounds."""
-    t = tree(spark, d).filter("level in ('L1', 'L2')").select("node_id", "parent_id", "ord")
-    b = t.select(F.col("node_id").alias("id_b"), F.col("parent_id").alias("pb"), F.col("ord").alias("ob"))
-    return t.join(b, (F.col("parent_id") == F.col("pb")) & (F.col("ord") < F.col("ob"))).select(F.col("node_id").alias("id_a"), "id_b")
+    """Siblings in order, each with the next 49: all pairs of parents with up to 50 children, a band of
+    the larger ones, whose close pairs sibling_duplicates() finds without listing all."""
+    t = tree(spark, d).select("parent_id", "ord", "node_id")
+    return sliding_pairs(t, ["parent_id"], [F.col("ord"), F.col("node_id")], "node_id", 49)
 
 
-@query("jn11_same_level_band", TREE + ", o as (select node_id, parent_id, level, row_number() over (partition by level order by ord, node_id) r from t where level in ('L1', 'L2')) select a.node_id id_a, b.node_id id_b from o a join o b on a.level = b.level and b.r between a.r + 1 and a.r + 49 and a.parent_id <> b.parent_id")
+@query("jn11_same_level_band", TREE + ", o as (select node_id, parent_id, level, row_number() over (partition by level order by ord, node_id) r from t where level in ('L2', 'L3')) select a.node_id id_a, b.node_id id_b from o a join o b on a.level = b.level and b.r between a.r + 1 and a.r + 49 and a.parent_id <> b.parent_id")
 def jn11(spark, d):
-    """Nodes of L2 and L3 with the next 49 of their level, where the parents differ. The SQL has L1 and
-    L2 only; nodes of L1 have one parent and give no pairs."""
+    """Nodes of L2 and L3 with the next 49 of their level, where the parents differ."""
     return cross_parent_pairs(tree(spark, d), 49)
 
 

@@ -151,6 +151,16 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return salted.join(spread, (F.col(left_key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt_r")), how).drop("_salt", "_salt_r")
 
 
+def lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salt_on: str, how: str = "inner") -> DataFrame:
+    """left joined to right, unique by right_key, on a key that may be hot: salted where it is. Keys of
+    any type; hot ones are compared by their text."""
+    kind = left.schema[left_key].dataType.simpleString()
+    if kind == "string":
+        return skew_join(left, right, left_key, right_key, find_hot(left, left_key), salt_on, how)
+    a, b = left.withColumn("_lk", F.col(left_key).cast("string")), right.withColumn("_rk", F.col(right_key).cast("string"))
+    return skew_join(a, b, "_lk", "_rk", find_hot(a, "_lk"), salt_on, how).drop("_lk", "_rk")
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, known to have so many rows, as a join side: broadcast up to the limit, merged beyond it, so
     that what is broadcast does not grow with the data."""
