@@ -164,7 +164,8 @@ def _over(a, b):
 
 
 def _unit(a, b):
-    return f"coalesce((list_cosine_similarity({a}, {b}) + 1) / 2, 0.0::double)"
+    whole = lambda v: f"list_transform({v}, lambda z: coalesce(z, 0.0::double))"
+    return f"coalesce((list_cosine_similarity({whole(a)}, {whole(b)}) + 1) / 2, 0.0::double)"
 
 
 @query("vc15_near_duplicates", _SAMPLES + f""", p as (select distinct id_a, id_b from policy_similarity_rerank_edges)
