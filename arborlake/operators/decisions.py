@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.operators.ranking import full_rank
 from arborlake.runtime import lookup
 
 # Statuses worth another attempt.
@@ -146,6 +147,40 @@ def overlap_scores(pairs: DataFrame, texts: DataFrame, key: str = "id", text: st
     return a.withColumn("rerank_score", jaccard(F.coalesce("_a", empty), F.coalesce("_b", empty))).drop("_a", "_b")
 
 
+#: Documents a rerank request holds, at most.
+CHUNK = 20
+
+
+def rerank_requests(pairs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """EX-04: (id_a, chunk, documents) requests of distinct pairs (id_a, id_b): the partners in order,
+    size a request, so an id with any number of partners is many requests."""
+    ranked = full_rank(pairs.select("id_a", "id_b").distinct(), "id_a", [F.asc("id_b")], "_r")
+    parts = ranked.groupBy("id_a", F.expr(f"cast((_r - 1) div {size} as int)").alias("chunk"))
+    return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id_b"))), lambda x: x["id_b"]).alias("documents"))
+
+
+def rerank_scores(response: Column, n: Column) -> Column:
+    """EX-04: scores of n documents from a provider's JSON. The list is results, data or
+    output.results; items with an index go there (the last of several), a document without one has 0;
+    items without any index go by position: objects, (id, score) pairs or plain numbers. Text that is
+    no such JSON gives null: the request failed."""
+    r = F.from_json(response, "results array<string>, data array<string>, output struct<results array<string>>")
+    items = F.coalesce(r["results"], r["data"], r["output"]["results"])
+    score = lambda x: F.coalesce(F.get_json_object(x, "$.relevance_score").try_cast("double"), F.get_json_object(x, "$.score").try_cast("double"), F.get_json_object(x, "$[1]").try_cast("double"), x.try_cast("double"), F.lit(0.0))
+    index = lambda x: F.get_json_object(x, "$.index").try_cast("int")
+    placed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(F.transform(F.filter(items, lambda x: index(x) == i), score), F.lit(-1)), F.lit(0.0)))
+    in_order = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(F.transform(items, score), i), F.lit(0.0)))
+    return F.when(items.isNull(), None).when(n < 1, F.array().cast("array<double>")).when(F.exists(items, lambda x: F.coalesce(index(x).isNotNull(), F.lit(False))), placed).otherwise(in_order)
+
+
+def rerank_results(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """EX-04: (id_a, id_b, rerank_score) of requests and their responses (id_a, chunk, response); null
+    where a request failed or has no response."""
+    j = requests.join(responses.select("id_a", "chunk", "response"), ["id_a", "chunk"], "left").withColumn("_s", rerank_scores(F.col("response"), F.size("documents")))
+    rows = j.select("id_a", "_s", F.posexplode("documents").alias("_p", "id_b"))
+    return rows.select("id_a", "id_b", F.get("_s", F.col("_p")).alias("rerank_score"))
+
+
 def resume(samples: DataFrame, scores: DataFrame, decisions: DataFrame, task: str, key: str = "sample_id") -> DataFrame:
     """EX-05: decisions of the samples that have no score yet."""
     pending = samples.select(key).distinct().join(scores.select(key).distinct(), key, "left_anti")

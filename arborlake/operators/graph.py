@@ -156,18 +156,68 @@ def top_categories(members: DataFrame, labels: DataFrame, tops: DataFrame, k: in
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vote_link(members: DataFrame, labels: DataFrame, tops: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """GR-08, AG-06 (rounds without a model): (node_id, parent_id, decision, ratio).
-
-    members: (node_id, l1 or null) rows, votes count known l1 only, the ratio counts all members.
-    At or above the threshold the vote decides; else the best of votes plus label overlap.
+def vote_link(members: DataFrame, labels: DataFrame, tops: DataFrame, threshold: float = 0.5, fast: DataFrame | None = None, audit: DataFrame | None = None, accept: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """GR-08, AG-06: (links, new categories). links: node_id, parent_id, decision, confidence, ratio,
+    is_new_parent.
+
+    1. Votes: members (node_id, l1 or null), known l1 only, against all members; at or above the
+       threshold the vote decides (R1_Hard_Link, the ratio as confidence).
+    2. fast (node_id, best_id, confidence, create_new): a known category with a confidence of accept
+       or more (R2_Fast_Match).
+    3. audit (the same and new_label): a known category, or a new one named by new_label (the node's
+       label without one). The first node in order creates it (R3_New_Created), others and names that
+       exist take what is there; without a valid answer the best of votes plus label overlap
+       (R3_Deep_Audit, .5 where no confidence is given).
+
+    A category created for a node is known to later nodes. new categories: node_id, label, size.
     """
     sizes = members.groupBy("node_id").agg(F.count("*").alias("n"))
     votes = members.join(tops.select(F.col("id").alias("l1")), "l1").groupBy("node_id", "l1").agg(F.count("*").alias("v"))
-    first = votes.join(sizes, "node_id").withColumn("_r", F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("v"), "l1"))).filter("_r = 1").select("node_id", F.col("l1").alias("_best"), (F.col("v") / F.col("n")).alias("ratio"))
-    base = sizes.select("node_id").join(first, "node_id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-    undecided = base.filter(F.col("ratio") < threshold).select("node_id")
-    named = undecided.join(labels, "node_id", "left").select("node_id", "label")
-    top1 = top_categories(members, named, tops, 1).select("node_id", F.col("category").alias("_fall"))
+    first = votes.join(sizes, "node_id").groupBy("node_id").agg(F.min_by(F.struct("l1", (F.col("v") / F.col("n")).alias("r")), F.struct(-F.col("v"), "l1")).alias("x")).select("node_id", F.col("x.l1").alias("_best"), F.col("x.r").alias("ratio"))
+    base = sizes.join(first, "node_id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    undecided = base.filter(F.col("ratio") < threshold).select("node_id", "n").join(labels.select("node_id", "label"), "node_id", "left")
+    top1 = top_categories(members, undecided.select("node_id", "label"), tops, 1).select(F.col("node_id").alias("_tn"), F.col("category").alias("_fall"))
+    kind = members.schema["node_id"].dataType.simpleString()
+    empty = members.sparkSession.createDataFrame([], f"node_id {kind}, best_id string, confidence double, create_new boolean, new_label string")
+    one = lambda d, *more: (d if d is not None else empty).groupBy(F.col("node_id").alias("_dn")).agg(F.max_by(F.struct("best_id", "confidence", F.coalesce("create_new", F.lit(False)).alias("create_new"), *more), F.struct("confidence", "best_id")).alias("d"))
+    known = tops.select(F.col("id").alias("_id"), F.col("label").alias("_name"))
+    # categories a deep audit creates, by the first node that names one
+    a3 = undecided.join(one(audit, "new_label"), F.col("node_id") == F.col("_dn"), "left").select("node_id", "n", "label", F.col("d").alias("d3"))
+    wish = F.when(F.col("d3.create_new"), F.trim(F.coalesce(F.nullif(F.trim("d3.new_label"), F.lit("")), "label")))
+    asked = a3.withColumn("wish", wish)
+    settled = asked.join(one(fast).select(F.col("_dn").alias("_fn"), F.col("d").alias("d2")), F.col("node_id") == F.col("_fn"), "left").join(known.select(F.col("_id").alias("_k2")), F.col("d2.best_id") == F.col("_k2"), "left")
+    quick = ~F.coalesce("d2.create_new", F.lit(False)) & (F.col("d2.confidence") >= accept) & F.col("d2.best_id").isNotNull()
+    deep = settled.filter(~F.coalesce(quick & F.col("_k2").isNotNull(), F.lit(False)) & F.col("wish").isNotNull())
+    new = deep.join(known, F.col("wish") == F.col("_name"), "left_anti").groupBy("wish").agg(F.min_by(F.struct("node_id", "n"), "node_id").alias("x"))
+    new = new.select(F.concat(F.lit("L1_N"), F.substring(F.md5("wish"), 1, 8)).alias("_id"), F.col("wish").alias("_name"), F.col("x.node_id").alias("_by"), F.col("x.n").alias("_size"))
+    stage = Stage(members.sparkSession, "votes")
+    new = stage.save(new)
+    all_ids = known.select("_id", "_name", F.lit(None).cast(kind).alias("_by")).unionByName(new.select("_id", "_name", "_by"))
+    as_ = lambda name: all_ids.select(*[F.col(c).alias(f"{name}{c}") for c in ("_id", "_name", "_by")])
+    s = settled.drop("_k2").join(as_("f"), (F.col("d2.best_id") == F.col("f_id")) & (F.col("f_by").isNull() | (F.col("f_by") < F.col("node_id"))), "left")
+    s = s.join(as_("w"), F.col("wish") == F.col("w_name"), "left")
+    s = s.join(as_("b"), (F.col("d3.best_id") == F.col("b_id")) & (F.col("b_by").isNull() | (F.col("b_by") < F.col("node_id"))), "left").join(top1, F.col("node_id") == F.col("_tn"), "left")
+    hit = F.coalesce(quick & F.col("f_id").isNotNull(), F.lit(False))
+    made = F.coalesce(F.col("w_by") == F.col("node_id"), F.lit(False))
+    late = s.select(
+        F.col("node_id").alias("_ln"), F.when(hit, F.col("f_id")).otherwise(F.coalesce("w_id", "b_id", "_fall")).alias("_to"), F.when(hit, "R2_Fast_Match").when(made, "R3_New_Created").otherwise("R3_Deep_Audit").alias("_how"),
+        F.when(hit, F.col("d2.confidence")).otherwise(F.coalesce(F.nullif(F.col("d3.confidence"), F.lit(0.0)), F.lit(0.5))).alias("_conf"), (~hit & made).alias("_new"),
+    )
     decided = F.col("ratio") >= threshold
-    return base.join(top1, "node_id", "left").select("node_id", F.when(decided, F.col("_best")).otherwise(F.col("_fall")).alias("parent_id"), F.when(decided, "R1_Hard_Link").otherwise("fallback_top1").alias("decision"), "ratio")
+    links = base.join(late, F.col("node_id") == F.col("_ln"), "left").select(
+        "node_id", F.when(decided, F.col("_best")).otherwise(F.col("_to")).alias("parent_id"), F.when(decided, "R1_Hard_Link").otherwise(F.col("_how")).alias("decision"),
+        F.when(decided, F.col("ratio")).otherwise(F.col("_conf")).alias("confidence"), "ratio", F.coalesce("_new", F.lit(False)).alias("is_new_parent"),
+    )
+    return links, new.select(F.col("_id").alias("node_id"), F.col("_name").alias("label"), F.col("_size").alias("size"))
+
+
+def recontract(pairs: DataFrame, members: DataFrame, new_members: DataFrame, old: DataFrame, score: str = "sim") -> DataFrame:
+    """HP-04: edges of a level after parents were created: those of the new nodes contracted from the
+    pair scores, the old ones kept; of an edge in both the new row counts."""
+    m = members.select("node_id", "member_id").unionByName(new_members.select("node_id", "member_id"))
+    fresh = new_members.select(F.col("node_id").alias("_n")).distinct()
+    made = contract_edges(pairs, m, score)
+    made = made.join(fresh.withColumnRenamed("_n", "_a"), F.col("node_a") == F.col("_a"), "left").join(fresh.withColumnRenamed("_n", "_b"), F.col("node_b") == F.col("_b"), "left").filter("_a is not null or _b is not null").drop("_a", "_b")
+    stage = Stage(pairs.sparkSession, "recontract")
+    made = stage.save(made)
+    return old.join(made.select("node_a", "node_b"), ["node_a", "node_b"], "left_anti").select(*made.columns).unionByName(made)

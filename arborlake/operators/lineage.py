@@ -92,3 +92,75 @@ def audit_operations(ops: DataFrame, table: DataFrame) -> DataFrame:
         .when(needs & (F.col("node_id") == F.col("target")), "same node").when(needs & ~F.col("_n1").eqNullSafe(F.col("_t1")), "other branch").when(needs & F.array_contains("_tp", F.col("node_id")), "below itself")
     )
     return j.select("seq", "type", "node_id", "target", F.when(why.isNull(), "applied").otherwise("skipped").alias("status"), F.coalesce(why, F.lit("ok")).alias("message"))
+
+
+_LOG = "seq long, type string, node_id string, target string, label string, status string, message string"
+
+
+def apply_operations(tree: DataFrame, table: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """TR-21: (tree, log) after audit operations were applied one after the other, in order of seq.
+
+    ops: seq, type, node_id, target, label; table: node_id, path_ids of tree_table. An operation sees
+    what earlier ones of its branch (first-level node) left; other branches are out of its reach, so
+    branches are independent and each is one task over the paths of the nodes its operations name.
+    rename gives label, move a new parent; merge sends a node's children to target and removes it.
+    Refused: unknown types, nodes or targets that are not there (any more), a rename without a label,
+    the node itself, targets of another branch and targets below the node. log: ops with status
+    (applied, skipped) and message; nothing is lost.
+    """
+    n = table.select(F.col("node_id").alias("_n"), F.col("path_ids").alias("_np"))
+    t = table.select(F.col("node_id").alias("_t"), F.col("path_ids").alias("_tp"))
+    o = ops.select(F.col("seq").cast("long").alias("seq"), "type", "node_id", "target", F.col("label").cast("string").alias("label"))
+    j = lookup(lookup(o, n, "node_id", "_n", "seq", "left"), t, "target", "_t", "seq", "left")
+    j = j.withColumn("_branch", F.coalesce(F.try_element_at("_np", F.lit(2)), F.lit("")))
+
+    def run(x):
+        import pandas as pd
+
+        up: dict[str, str | None] = {}
+        for col in ("_np", "_tp"):
+            for path in x[col]:
+                if path is not None:
+                    up.update({b: a for a, b in zip([None, *path], path)})
+        gone, out = set(), []
+
+        def above(node) -> list[str]:
+            line = []
+            while node is not None:
+                line.append(node)
+                node = up.get(node)
+            return line[::-1]
+
+        for r in x.sort_values("seq", kind="stable").itertuples(index=False):
+            kind, node, target, why = r.type, r.node_id, r.target, None
+            if kind not in ("rename", "move", "merge"):
+                why = "unknown type"
+            elif node not in up or node in gone:
+                why = "unknown node"
+            elif kind == "rename":
+                why = None if r.label else "no label"
+            elif target not in up or target in gone:
+                why = "unknown target"
+            elif target == node:
+                why = "same node"
+            else:
+                line = above(target)
+                why = "other branch" if line[1:2] != above(node)[1:2] else "below itself" if node in line else None
+                if why is None and kind == "move":
+                    up[node] = target
+                elif why is None:
+                    gone.add(node)
+                    up.update({c: target for c, p in up.items() if p == node and c != target})
+            out.append((r.seq, kind, node, target, r.label, "skipped" if why else "applied", why or "ok"))
+        return pd.DataFrame(out, columns=["seq", "type", "node_id", "target", "label", "status", "message"])
+
+    spark = tree.sparkSession
+    cols = ["seq", "type", "node_id", "target", "label", "_np", "_tp"]
+    log = Stage(spark, "operations").save(j.groupBy("_branch").applyInPandas(lambda x: run(x[cols]), _LOG))
+    done = log.filter("status = 'applied'")
+    last = lambda kind, col: done.filter(F.col("type") == kind).groupBy(F.col("node_id").alias("_d")).agg(F.max_by(col, "seq").alias("_v"))
+    named = tree.join(last("rename", "label"), F.col("node_id") == F.col("_d"), "left").withColumn("label", F.coalesce("_v", "label")).drop("_d", "_v")
+    moved = named.join(last("move", "target"), F.col("node_id") == F.col("_d"), "left").withColumn("parent_id", F.coalesce("_v", "parent_id")).drop("_d", "_v")
+    merged = done.filter("type = 'merge'").select(F.col("node_id").alias("src"), F.col("target").alias("dst"))
+    kept = moved.join(merged.select(F.col("src").alias("node_id")), "node_id", "left_anti")
+    return apply_redirects(kept, chase(merged), "parent_id").select(*tree.columns), log

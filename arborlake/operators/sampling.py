@@ -48,9 +48,10 @@ def path_quota(paths: DataFrame, by: str, target: int = 40, least: int = 3) -> D
     return n.select(by, F.greatest(F.lit(least), F.bround(F.lit(float(target)) * F.col("n") / F.lit(float(t))).cast("int")).alias("quota"))
 
 
-def pick_paths(paths: DataFrame, by: str, key: str, length: str, seed: str, target: int = 40) -> DataFrame:
+def pick_paths(paths: DataFrame, by: str, key: str, length: str, seed: str, target: int = 40, risk: DataFrame | None = None, fill: int = 50) -> DataFrame:
     """SM-06: per category two of its longest paths and the rest of its quota from the others, both
-    in hash order; and the longest path of all."""
+    in hash order; then paths at risk (risk: their keys) in hash order until fill paths are chosen;
+    and the longest path of all."""
     h = hash_order(seed, key)
     longest = paths.groupBy(F.col(by).alias("_b")).agg(F.max(length).alias("_m"))
     rows = paths.join(longest, F.col(by) == F.col("_b")).withColumn("_h", h)
@@ -61,7 +62,12 @@ def pick_paths(paths: DataFrame, by: str, key: str, length: str, seed: str, targ
     others = rows.join(two, key, "left_anti").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= target)
     rest = others.join(quota, F.col(by) == F.col("_q")).join(taken, F.col(by) == F.col("_t"), "left").filter(F.col("_r") <= F.col("quota") - F.coalesce("_k", F.lit(0))).select(key)
     top = paths.orderBy(F.desc(length), key).limit(1).select(key)
-    return two.union(rest).union(top).distinct()
+    chosen = two.union(rest).distinct()
+    if risk is not None:
+        more = max(0, fill - chosen.count())  # the size of the sample is the operator
+        at_risk = paths.join(risk.select(key).distinct(), key, "left_semi").join(chosen, key, "left_anti")
+        chosen = chosen.union(at_risk.select(key, h.alias("_h")).orderBy("_h", key).limit(more).select(key))
+    return chosen.union(top).distinct()
 
 
 def retry_clean(raw: DataFrame, done: DataFrame, key: str = "sample_id", error: str = "error", seq: str = "seq") -> DataFrame:

@@ -239,9 +239,15 @@ def sm05(spark, d):
 
 @query("sm06_pick_paths", _PATHS + """, h as (select *, md5('7|' || sample_id) h, max(path_length) over (partition by l1_label) m from p), two as (select sample_id, l1_label from (select *, row_number() over (partition by l1_label order by h, sample_id) r from h where path_length = m) where r <= 2),
  o as (select *, row_number() over (partition by l1_label order by h, sample_id) r from h where sample_id not in (select sample_id from two)), k as (select l1_label, count(*) k from two group by 1)
- select sample_id from two union select o.sample_id from o join q on o.l1_label = q.l1_label join k on k.l1_label = o.l1_label where r <= quota - k union (select sample_id from p order by path_length desc, sample_id limit 1)""")
+, c as (select sample_id from two union select o.sample_id from o join q on o.l1_label = q.l1_label join k on k.l1_label = o.l1_label where r <= quota - k),
+ risk as (select distinct sample_id, md5('7|' || sample_id) h from path_scores where list_contains(result.flags, (select max(f) from (select unnest(result.flags) f from path_scores)))),
+ more as (select sample_id from (select *, row_number() over (order by h, sample_id) r from risk where sample_id not in (select sample_id from c)) where r <= 200 - (select count(*) from c))
+ select sample_id from c union select sample_id from more union (select sample_id from p order by path_length desc, sample_id limit 1)""")
 def sm06(spark, d):
-    return M.pick_paths(_paths(spark, d), "l1_label", "sample_id", "path_length", "7")
+    """Quota per category, then paths with the last flag of all as those at risk, up to 200 paths."""
+    flags = table(spark, d, "path_scores").select("sample_id", F.explode("result.flags").alias("f"))
+    risk = flags.join(flags.agg(F.max("f").alias("f")), "f", "left_semi").select("sample_id")
+    return M.pick_paths(_paths(spark, d), "l1_label", "sample_id", "path_length", "7", risk=risk, fill=200)
 
 
 @query("sm07_uniform_sample", "select doc_id from documents order by md5('audit|' || doc_id), doc_id limit 50")

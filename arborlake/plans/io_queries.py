@@ -10,7 +10,8 @@ from arborlake.operators import decisions as D
 from arborlake.operators import evidence as E
 from arborlake.operators.reshape import upsert
 from arborlake.plans import query
-from arborlake.runtime import shared_dir, table
+from arborlake.plans.text_queries import s_tokens
+from arborlake.runtime import Stage, shared_dir, table
 from arborlake.sources import tables as S
 
 
@@ -78,13 +79,20 @@ def io07(spark, d):
     return S.read_vectors(wide, "vec_id").select("vec_id", F.size("vector").alias("n"))
 
 
-@query("io08_nested_tree", "select 'R' || r_regionkey node_id, 'ROOT' parent_id from region union all select 'N' || n_nationkey, 'R' || n_regionkey from nation union all select 'ROOT', null")
+@query("io08_nested_tree", "select r_regionkey tree, 'ROOT' node_id, null parent_id from region union all select r_regionkey, 'R' || r_regionkey, 'ROOT' from region union all select n_regionkey, 'N' || n_nationkey, 'R' || n_regionkey from nation union all select n_regionkey, 'C' || c_custkey, 'N' || n_nationkey from customer join nation on n_nationkey = c_nationkey")
 def io08(spark, d):
-    """Adjacency to one nested document and back."""
-    r, n = table(spark, d, "region"), table(spark, d, "nation")
-    rows = [("ROOT", "", "ROOT", None, 0)] + [(f"R{x.r_regionkey}", x.r_name, "L1", "ROOT", x.r_regionkey) for x in r.limit(1000).collect()] + [(f"N{x.n_nationkey}", x.n_name, "L2", f"R{x.n_regionkey}", x.n_nationkey) for x in n.limit(1000).collect()]
-    back = S.tree_rows(S.nested_tree(rows))
-    return spark.createDataFrame([(x[0], x[3]) for x in back], "node_id string, parent_id string")
+    """Customers below nations below regions: one nested document per region, written as files and read
+    back as adjacency rows."""
+    r, n, c = table(spark, d, "region"), table(spark, d, "nation"), table(spark, d, "customer")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    rows = r.select(F.col("r_regionkey").alias("tree"), F.lit("ROOT").alias("node_id"), F.lit("").alias("label"), F.lit("ROOT").alias("level"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("ord"))
+    rows = rows.union(r.select("r_regionkey", name("R", "r_regionkey"), "r_name", F.lit("L1"), F.lit("ROOT"), F.col("r_regionkey").cast("long")))
+    rows = rows.union(n.select("n_regionkey", name("N", "n_nationkey"), "n_name", F.lit("L2"), name("R", "n_regionkey"), F.col("n_nationkey").cast("long")))
+    rows = rows.union(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", name("C", "c_custkey"), "c_name", F.lit("L3"), name("N", "n_nationkey"), F.col("c_custkey").cast("long")))
+    p = _path(spark, "trees")
+    S.tree_documents(rows, "tree").write.partitionBy("tree").text(p)
+    back = S.load_trees(spark, f"{p}/tree=*/*.txt")
+    return back.select(F.regexp_extract("file", "tree=([0-9]+)/", 1).cast("long").alias("tree"), "node_id", "parent_id")
 
 
 @query("io09_json_lines", "select event_type, count(*) n from events group by 1")
@@ -117,15 +125,18 @@ def io12(spark, d):
     return S.seed_samples(table(spark, d, "seed_samples"), 5).select("l1", "sample_id")
 
 
-@query("io13_raters_of_files", "select distinct judge_key from node_scores")
+@query("io13_raters_of_files", "select distinct judge_key from node_scores where judge_key is not null")
 def io13(spark, d):
-    names = table(spark, d, "node_scores").select(F.concat(F.lit("judge_"), "judge_key", F.lit("_node_scores.jsonl")).alias("file_name")).distinct()
-    return S.raters_of(names)
+    """Raters by the names of their score files, which are written first."""
+    p = _path(spark, "raters")
+    t = table(spark, d, "node_scores").filter("judge_key is not null").select("sample_id", F.concat(F.lit("judge_"), "judge_key", F.lit("_node_scores.jsonl")).alias("file"))
+    t.write.partitionBy("file").json(p)
+    return spark.createDataFrame([(k,) for k in S.rater_files(spark, p)], "judge_key string")
 
 
 @query("io14_first_existing", "select count(*) n from nation")
 def io14(spark, d):
-    return spark.read.parquet(S.first_existing(f"{d}/missing.parquet", f"{d}/nation.parquet")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(S.first_existing(f"{d}/missing.parquet", f"{d}/nation.parquet", spark=spark)).agg(F.count("*").alias("n"))
 
 
 @query("io16_partitioned_checkpoint", "select l1_category, count(*) n from tree_nodes_l3 group by 1")
@@ -198,12 +209,34 @@ def ex03(spark, d):
     return v.select("doc_id", F.size("v").alias("dim"))
 
 
-@query("ex04_overlap_scores", "select id_a, id_b, count(*) n from policy_similarity_rerank_edges group by all")
+@query("ex04_overlap_scores", f"""with p as (select distinct id_a, id_b from policy_similarity_rerank_edges), n as (select sample_id, max(text_for_embed) x from policy_corpus_embeddings group by 1), t as (select sample_id, list_distinct({s_tokens('x')}) t from n),
+j as (select id_a, id_b, coalesce(a.t, []) x, coalesce(b.t, []) y from p left join t a on a.sample_id = id_a left join t b on b.sample_id = id_b)
+select id_a, id_b, round(case when len(x) + len(y) = 0 then 0.0::double else len(list_intersect(x, y))::double / (len(x) + len(y) - len(list_intersect(x, y))) end, 6) rerank_score from j""")
 def ex04(spark, d):
-    """Scores of all pairs by token overlap; each pair's count of rows comes through."""
-    pairs = table(spark, d, "policy_similarity_rerank_edges").groupBy("id_a", "id_b").agg(F.count("*").alias("n"))
+    """Scores of all distinct pairs by token overlap."""
+    pairs = table(spark, d, "policy_similarity_rerank_edges").select("id_a", "id_b").distinct()
     texts = table(spark, d, "policy_corpus_embeddings").groupBy(F.col("sample_id").alias("id")).agg(F.max("text_for_embed").alias("text"))
-    return D.overlap_scores(pairs, texts).filter("rerank_score between 0 and 1").select("id_a", "id_b", "n")
+    return D.overlap_scores(pairs, texts).select("id_a", "id_b", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query("ex04_rerank_provider", """with p as (select id_a, id_b, row_number() over (partition by id_a order by id_b) r from (select distinct id_a, id_b from policy_similarity_rerank_edges)),
+c as (select *, cast((r - 1) // 20 as integer) chunk, (r - 1) % 20 pos from p), k as (select *, (chunk + length(id_a) + ascii(right(id_a, 1))) % 5 layout, count(*) over (partition by id_a, chunk) n from c)
+select id_a, id_b, case when layout = 4 then null when layout = 0 and pos = n - 1 then 0.0 else (pos + 1) / 32.0 end::double rerank_score from k""")
+def ex04_provider(spark, d):
+    """Requests of 20 partners and the responses of a provider in every layout it has: by index in any
+    order with one missing, as objects in order, as pairs, as numbers, and failed ones."""
+    req = Stage(spark, "rerank").save(D.rerank_requests(table(spark, d, "policy_similarity_rerank_edges")))
+    n = F.size("documents")
+    layout = F.expr("(chunk + length(id_a) + ascii(right(id_a, 1))) % 5")
+    each = lambda f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    score = lambda i: ((i + 1) / 32.0).cast("string")
+    indexed = F.concat(F.lit('{"results": ['), F.array_join(F.reverse(F.slice(each(lambda i: F.concat(F.lit('{"index": '), i.cast("string"), F.lit(', "relevance_score": '), score(i), F.lit("}"))), 1, n - 1)), ", "), F.lit(', {"index": 99, "score": 1}]}'))
+    indexed = F.when(n == 1, '{"results": [{"index": 99, "score": 1}]}').otherwise(indexed)
+    objects = F.concat(F.lit('{"output": {"results": ['), F.array_join(each(lambda i: F.concat(F.lit('{"score": '), score(i), F.lit("}"))), ","), F.lit("]}}"))
+    two = F.concat(F.lit('{"data": ['), F.array_join(each(lambda i: F.concat(F.lit('["x", '), score(i), F.lit("]"))), ","), F.lit("]}"))
+    plain = F.concat(F.lit('{"data": ['), F.array_join(each(score), ","), F.lit("]}"))
+    answer = F.when(layout == 0, indexed).when(layout == 1, objects).when(layout == 2, two).when(layout == 3, plain).otherwise("503 unavailable")
+    return D.rerank_results(req, req.select("id_a", "chunk", answer.alias("response")))
 
 
 @query("ex05_resume", "with s as (select distinct response_id::varchar sample_id from llm_balance_log), d as (select distinct response_id::varchar sample_id from llm_balance_log where response_id % 2 = 0) select count(*) n from s where sample_id not in (select sample_id from d) and cast(sample_id as bigint) % 5 <> 0")

@@ -374,10 +374,54 @@ def ag06(spark, d):
     return v.join(sizes, "node_id").select("node_id", "l1", "v", F.round(F.col("v") / F.col("n"), 6).alias("ratio"))
 
 
-@query("gr08_vote_link", _VOTE + " select sz.node_id, b.l1 parent_id, case when b.v / sz.n::double >= 0.25::double then 'R1_Hard_Link' else 'fallback_top1' end decision, round(b.v / sz.n::double, 6) ratio from sz left join b on b.node_id = sz.node_id and b.r = 1")
+_NAMES = "names as (select n_nationkey node_id, case when n_nationkey % 5 = 0 then 'machinery ' || n_name when n_nationkey % 5 = 1 then 'AUTOMOBILE' else n_name end label from nation), tops(id, label) as (values ('A', 'BUILDING'), ('B', 'AUTOMOBILE'), ('C', 'machinery'))"
+_FAST = "fast as (select n_nationkey node_id, case when n_nationkey % 9 = 0 then 'none' else 'B' end best_id, case when n_nationkey % 2 = 0 then 0.9 else 0.5 end confidence, n_nationkey % 6 = 0 create_new from nation where n_nationkey % 3 = 0)"
+_AUDIT = "audit as (select n_nationkey node_id, case when n_nationkey % 7 = 0 then 'zz' else 'C' end best_id, case when n_nationkey % 4 = 0 then 0.0 else 0.6 end confidence, n_nationkey % 2 = 1 create_new, case n_nationkey % 8 when 1 then 'BUILDING' when 3 then '' when 5 then 'New field' else 'Other' end new_label from nation where n_nationkey % 5 <> 2)"
+_LINKS = _VOTE + f""", {_NAMES}, {_FAST}, {_AUDIT},
+r1 as (select sz.node_id, b.l1, coalesce(b.v / sz.n::double, 0) ratio, sz.n from sz left join b on b.node_id = sz.node_id and b.r = 1),
+tok as (select id, list_distinct({s_tokens('label')}) t from tops), ntok as (select node_id, list_distinct({s_tokens('label')}) t from names),
+fall as (select node_id, id from (select ntok.node_id, tok.id, row_number() over (partition by ntok.node_id order by round(coalesce(v.v, 0) + case when len(tok.t) + len(ntok.t) = 0 then 0.0::double else len(list_intersect(tok.t, ntok.t))::double / (len(tok.t) + len(ntok.t) - len(list_intersect(tok.t, ntok.t))) end, 9) desc, tok.id) k
+  from ntok cross join tok left join v on v.node_id = ntok.node_id and v.l1 = tok.id) where k = 1),
+q as (select r1.*, coalesce(not f.create_new and f.confidence >= 0.85 and f.best_id in (select id from tops), false) quick, f.best_id f_id, f.confidence f_c,
+  case when a.create_new then trim(coalesce(nullif(trim(a.new_label), ''), names.label)) end wish, a.best_id a_id, a.confidence a_c
+  from r1 join names on names.node_id = r1.node_id left join fast f on f.node_id = r1.node_id left join audit a on a.node_id = r1.node_id),
+new as (select wish, min(node_id) by_, arg_min(n, node_id) size from q where ratio < 0.22::double and not quick and wish is not null and wish not in (select label from tops) group by 1)"""
+
+
+def _linked(spark, d):
+    n = table(spark, d, "nation").withColumnRenamed("n_nationkey", "k")
+    names = n.select(F.col("k").alias("node_id"), F.expr("case when k % 5 = 0 then 'machinery ' || n_name when k % 5 = 1 then 'AUTOMOBILE' else n_name end").alias("label"))
+    fast = n.filter("k % 3 = 0").select(F.col("k").alias("node_id"), F.expr("if(k % 9 = 0, 'none', 'B')").alias("best_id"), F.expr("if(k % 2 = 0, 0.9D, 0.5D)").alias("confidence"), F.expr("k % 6 = 0").alias("create_new"))
+    audit = n.filter("k % 5 <> 2").select(F.col("k").alias("node_id"), F.expr("if(k % 7 = 0, 'zz', 'C')").alias("best_id"), F.expr("if(k % 4 = 0, 0.0D, 0.6D)").alias("confidence"), F.expr("k % 2 = 1").alias("create_new"), F.expr("case k % 8 when 1 then 'BUILDING' when 3 then '' when 5 then 'New field' else 'Other' end").alias("new_label"))
+    tops = spark.createDataFrame([("A", "BUILDING"), ("B", "AUTOMOBILE"), ("C", "machinery")], "id string, label string")
+    return G.vote_link(_votes(spark, d), names, tops, 0.22, fast, audit)
+
+
+@query("gr08_vote_link", _LINKS + """ select q.node_id, case when ratio >= 0.22::double then l1 when quick then f_id when q.wish is not null then coalesce((select id from tops where label = q.wish), concat('L1_N', substr(md5(q.wish), 1, 8))) when a_id in (select id from tops) then a_id else fall.id end parent_id,
+ case when ratio >= 0.22::double then 'R1_Hard_Link' when quick then 'R2_Fast_Match' when new.by_ = q.node_id then 'R3_New_Created' else 'R3_Deep_Audit' end decision,
+ round(case when ratio >= 0.22::double then ratio when quick then f_c else coalesce(nullif(a_c, 0), 0.5) end::double, 6) confidence, round(ratio, 6) ratio, coalesce(ratio < 0.22::double and not quick and new.by_ = q.node_id, false) is_new_parent
+ from q left join new on new.wish = q.wish left join fall on fall.node_id = q.node_id""")
 def gr08(spark, d):
-    labels = table(spark, d, "nation").select(F.col("n_nationkey").alias("node_id"), F.lit("").alias("label"))
-    return G.vote_link(_votes(spark, d), labels, _tops(spark), 0.25).withColumn("ratio", F.round("ratio", 6))
+    """Votes, fast match and deep audit with new categories."""
+    return _linked(spark, d)[0].withColumns({"ratio": F.round("ratio", 6), "confidence": F.round("confidence", 6)})
+
+
+@query("gr08_new_categories", _LINKS + " select concat('L1_N', substr(md5(wish), 1, 8)) node_id, wish label, size from new")
+def gr08_new(spark, d):
+    return _linked(spark, d)[1]
+
+
+@query("hp04_recontract", KNN + """, m as (select vec_id member_id, label::varchar node_id from embeddings union all select vec_id, 'new' || label % 3 from embeddings where vec_id % 4 = 0),
+x as (select least(a.node_id, b.node_id) node_a, greatest(a.node_id, b.node_id) node_b, sim, row_number() over (partition by least(a.node_id, b.node_id), greatest(a.node_id, b.node_id) order by sim) r, count(*) over (partition by least(a.node_id, b.node_id), greatest(a.node_id, b.node_id)) c
+  from n join m a on a.member_id = n.id_a join m b on b.member_id = n.id_b where a.node_id <> b.node_id)
+select node_a, node_b, round(avg(sim) filter (r > floor(c * 0.1::double) and r <= c - floor(c * 0.1::double)), 6) score_mean, count(*) pair_count from x group by all""")
+def hp04_recontract(spark, d):
+    """Edges of a level after three parents were created over a quarter of the members."""
+    k, v = knn(spark, d), vectors(spark, d)
+    old = v.select(F.col("label").cast("string").alias("node_id"), F.col("id").alias("member_id"))
+    new = v.filter("id % 4 = 0").select(F.concat(F.lit("new"), (F.col("label") % 3).cast("string")).alias("node_id"), F.col("id").alias("member_id"))
+    out = G.recontract(k, old, new, Stage(spark, "edges").save(G.contract_edges(k, old)))
+    return out.select("node_a", "node_b", F.round("score_mean", 6).alias("score_mean"), "pair_count")
 
 
 @query("st03_top_categories", _VOTE + """, c as (select n.n_nationkey node_id, t.id, coalesce(v.v, 0) s from nation n cross join (values ('A'), ('B'), ('C')) t(id) left join v on v.node_id = n.n_nationkey and v.l1 = t.id),

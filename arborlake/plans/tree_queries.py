@@ -229,11 +229,24 @@ def tr19(spark, d):
  q as (select o.*, a.path ap, b.path bp, b.node_id bn from o left join t a on a.node_id = o.node_id left join t b on b.node_id = o.target)
  select node_id, case when type = 'split' then 'unknown type' when type = 'rename' then 'ok' when bn is null then 'unknown target' when node_id = target then 'same node' when ap[2] <> bp[2] then 'other branch' when list_contains(bp, node_id) then 'below itself' else 'ok' end message from q""")
 def tr21(spark, d):
-    _, f = full(spark, d)
+    """Operations on all nodes of L3; every operation meets what earlier ones left."""
+    return _applied(spark, d)[1].select("node_id", "message")
+
+
+def _applied(spark, d):
+    t, f = full(spark, d)
     kind = F.element_at(F.array(*map(F.lit, ("rename", "move", "merge", "split"))), (F.col("ord") % 4 + 1).cast("int"))
     target = F.when(F.col("ord") % 6 == 0, "none").when(F.col("ord") % 6 == 1, F.col("node_id")).otherwise("N1")
-    ops = f.filter("level = 'L3'").select(F.col("ord").alias("seq"), kind.alias("type"), "node_id", target.alias("target"))
-    return L.audit_operations(ops, f).select("node_id", "message")
+    ops = f.filter("level = 'L3'").select(F.col("ord").alias("seq"), kind.alias("type"), "node_id", target.alias("target"), F.lit("renamed").alias("label"))
+    return L.apply_operations(t, f, ops)
+
+
+@query("tr21_applied_tree", TREE + """, o as (select node_id, list_extract(['rename', 'move', 'merge', 'split'], cast(ord % 4 + 1 as bigint)) as type, case when ord % 6 = 0 then 'none' when ord % 6 = 1 then node_id else 'N1' end target, t.path[2] b from t where level = 'L3'),
+ ok as (select * from o where type = 'rename' or (target = 'N1' and b = (select path[2] from t where node_id = 'N1')))
+ select t.node_id, case when ok.type = 'rename' then 'renamed' else t.label end label, case when ok.type = 'move' then 'N1' else t.parent_id end parent_id from t left join ok on ok.node_id = t.node_id and ok.type <> 'split' where not coalesce(ok.type = 'merge', false)""")
+def tr21_tree(spark, d):
+    """The tree after the operations."""
+    return _applied(spark, d)[0].select("node_id", "label", "parent_id")
 
 
 @query("tr22_level_ancestor", TREE + " select node_id, path[2] ancestor_id from t")

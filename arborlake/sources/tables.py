@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +83,38 @@ def nested_tree(rows: Iterable[tuple], root: str = "ROOT") -> dict:
     return nodes[root]
 
 
+_TREE = "node_id string, label string, level string, parent_id string, ord long"
+
+
+def load_trees(spark: SparkSession, *paths: str) -> DataFrame:
+    """IO-08: (file, adjacency rows) of nested tree documents, one a file, parsed where they are read;
+    any number of files on any storage that Spark reads. A file that is no JSON object is an error."""
+    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column("file").to_pylist(), b.column("value").to_pylist()):
+                cols = list(zip(*tree_rows(json.loads(text.removeprefix("\ufeff")))))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cols[0])), *[pa.array(c, pa.string()) for c in cols[:4]], pa.array(cols[4], pa.int64())], names=["file", "node_id", "label", "level", "parent_id", "ord"])
+
+    return files.mapInArrow(parse, "file string, " + _TREE)
+
+
 def load_tree(spark: SparkSession, path: str) -> DataFrame:
-    with open(path, encoding="utf-8") as f:
-        return spark.createDataFrame(tree_rows(json.load(f)), "node_id string, label string, level string, parent_id string, ord long")
+    """IO-08: adjacency rows of one nested tree document."""
+    return load_trees(spark, path).drop("file")
+
+
+def tree_documents(rows: DataFrame, by: str, root: str = "ROOT") -> DataFrame:
+    """IO-08: (by, document) with one nested tree document per value of by; a document is one text, so
+    its tree is the unit that must fit a task. rows: by, node_id, label, level, parent_id, ord."""
+    kind = rows.schema[by].dataType.simpleString()
+
+    def nest(t: pa.Table) -> pa.Table:
+        cols = [t.column(c).to_pylist() for c in ("node_id", "label", "level", "parent_id", "ord")]
+        return pa.table({by: t.column(by)[:1], "document": pa.array([json.dumps(nested_tree(list(zip(*cols)), root), ensure_ascii=False)])})
+
+    return rows.select(by, "node_id", "label", "level", "parent_id", "ord").groupBy(by).applyInArrow(nest, f"{by} {kind}, document string")
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:
@@ -111,19 +141,40 @@ def raters_of(files: DataFrame, column: str = "file_name", kind: str = "node") -
     return files.select(key.alias("judge_key")).filter("judge_key <> ''").distinct()
 
 
-def first_existing(*paths: str) -> str:
-    """IO-14."""
-    for p in paths:
-        if p and os.path.exists(p):
-            return p
+def rater_files(spark: SparkSession, folder: str, kind: str = "node") -> list[str]:
+    """IO-13: rater keys of the files and folders judge_{key}_{kind}_scores.* of a folder, in order."""
+    found = (re.search(rf"judge_(.+)_{kind}_scores\.", name) for name in list_names(spark, folder))
+    return sorted({m[1] for m in found if m})
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any storage that Spark reads."""
+    fs, p = _file_system(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def first_existing(*paths: str, spark: SparkSession | None = None) -> str:
+    """IO-14: the first path that exists, on any storage that Spark reads."""
+    spark = spark or SparkSession.getActiveSession()
+    for path in paths:
+        if path:
+            fs, p = _file_system(spark, path)
+            if fs.exists(p):
+                return path
     raise FileNotFoundError(f"none of {paths}")
 
 
 class Catalog:
     """HP-11, HP-10: places of the stages' tables below one folder."""
 
-    def __init__(self, base: str):
+    def __init__(self, base: str, spark: SparkSession | None = None):
         self.base = base.rstrip("/")
+        self.spark = spark or SparkSession.getActiveSession()
 
     def nodes(self, level: str) -> str:
         return f"{self.base}/tree_nodes_{level}"
@@ -138,5 +189,5 @@ class Catalog:
         return f"{self.base}/cluster_edges_{level}"
 
     def trees(self, exclude: Iterable[str] = ("label_map",)) -> list[str]:
-        found = sorted(f for f in os.listdir(self.base) if f.endswith(".json") and not any(x in f for x in exclude))
+        found = sorted(f for f in list_names(self.spark, self.base) if f.endswith(".json") and not any(x in f for x in exclude))
         return [f"{self.base}/{f}" for f in found]
