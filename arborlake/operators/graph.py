@@ -112,36 +112,111 @@ def emit_clusters(membership: DataFrame, labels: DataFrame, level: int, by: list
     return g.select(*by, "cluster", node_id(F.lit(level), F.col("_m")).alias("node_id"), F.col("_first._l").alias("label"), F.when(size > 1, "merge-cc").otherwise("seed-existing").alias("provenance"), size.alias("size"))
 
 
-def assign_parents(children: DataFrame, parents: DataFrame, score, decisions: DataFrame | None = None, k: int = 5, hard: float = 0.92, by: str = "l1") -> DataFrame:
-    """GR-07, JN-03 (static candidates): (child_id, parent_id, decision, confidence) per child.
+def scored_candidates(children: DataFrame, parents: DataFrame, score, k: int, by: str = "l1") -> DataFrame:
+    """ST-02, JN-03: (child_id, parent_id, score, rank) of the k best parents of a child's category.
 
-    Candidates share the category; the best at or above hard is taken as it is, then a decision
-    among the top k, else the top one. A child without candidates creates a parent of its own.
-    Parents are the nodes of one tree level within a category; the join is on the category, and
-    top-k is limited before the shuffle.
+    score is an expression over c_<child column> and p_<parent column>; ties take the smaller id.
+    Children of a category that holds many are spread over tasks, and only k rows a child and task
+    are shuffled, though every parent of the category is scored.
     """
     c = children.select(F.col("node_id").alias("child_id"), F.col(by).alias("_by"), *[F.col(x).alias(f"c_{x}") for x in children.columns if x not in ("node_id", by)])
     p = parents.select(F.col("node_id").cast("string").alias("parent_id"), F.col(by).alias("_bp"), *[F.col(x).alias(f"p_{x}") for x in parents.columns if x not in ("node_id", by)])
-    scored = c.join(p, F.col("_by") == F.col("_bp")).withColumn("score", score)
+    scored = lookup(c, p, "_by", "_bp", "child_id").select("child_id", "parent_id", score.alias("score"))
+    return _best(scored, k)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("child_id").orderBy(F.desc(F.round("score", 9)), "parent_id")
-    top = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).withColumn("_next", F.lead("score").over(w))
-    best = top.filter("_r = 1").select("child_id", "parent_id", "score", (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("margin"))
-    chosen = best.select("child_id", F.col("parent_id").alias("_top"), F.col("score").alias("_s"), "margin")
-    out = children.select(F.col("node_id").alias("child_id")).join(chosen, "child_id", "left")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _new_id(child):
+    return F.concat(F.lit("NEW_"), F.substring(F.md5(child.cast("string")), 1, 8))
+
+
+def created_parents(children: DataFrame, static: DataFrame, score, wishes: DataFrame, hard: float, as_parent: dict[str, str], by: str) -> DataFrame:
+    """GR-07: (node_id, by, <parent columns>, _child) of the parents that children create, in the order of
+    child ids: a child that wants one, or the first of a category without parents, creates it unless
+    a parent at or above hard is there, one created by an earlier child included.
+
+    Who creates is settled in rounds: a child waits for the earlier ones whose parent would do for it.
+    Wishes come one by one from people or models, so they are few beside the children.
+    """
+    stage = Stage(children.sparkSession, "created")
+    best = static.filter("rank = 1").select(F.col("child_id").alias("_c"), F.col("score").alias("_s"))
+    with_best = children.join(best, F.col("node_id") == F.col("_c"), "left").drop("_c")
+    bare = with_best.groupBy(F.col(by).alias("_g")).agg(F.count("_s").alias("_n"), F.min("node_id").alias("_first")).filter("_n = 0").select(F.col("_first").alias("_w"))
+    wanted = bare.unionByName(wishes.select(F.col("node_id").alias("_w"))).distinct()
+    able = stage.save(with_best.filter(F.coalesce(F.col("_s") < hard, F.lit(True))).join(wanted, F.col("node_id") == F.col("_w"), "left_semi").drop("_s"))
+    own = able.select(_new_id(F.col("node_id")).alias("node_id"), by, F.col("node_id").alias("_child"), *[F.col(c).alias(p) for c, p in as_parent.items()])
+    c = able.select(F.col("node_id").alias("child_id"), F.col(by).alias("_by"), *[F.col(x).alias(f"c_{x}") for x in able.columns if x not in ("node_id", by)])
+    p = own.select(F.col("_child").alias("_j"), F.col(by).alias("_bp"), *[F.col(x).alias(f"p_{x}") for x in as_parent.values()])
+    blocks = stage.save(lookup(c, p, "_by", "_bp", "child_id").filter((F.col("_j") < F.col("child_id")) & (score >= hard)).select("child_id", "_j"))
+    open_, seen = stage.save(able.select("node_id", F.lit(0).alias("state")), {"n": F.count(F.lit(1))})
+    while seen["n"]:  # state 0 waits, 1 creates, 2 does not
+        state = open_.select(F.col("node_id").alias("_b"), F.col("state").alias("_bs"))
+        met = blocks.join(state, F.col("_j") == F.col("_b")).groupBy(F.col("child_id").alias("_i")).agg(F.count_if(F.col("_bs") == 1).alias("_yes"), F.count_if(F.col("_bs") == 0).alias("_wait"))
+        step = open_.join(met, F.col("node_id") == F.col("_i"), "left").select(
+            "node_id", F.when(F.col("state") > 0, F.col("state")).when(F.col("_yes") > 0, 2).when(F.coalesce("_wait", F.lit(0)) > 0, 0).otherwise(1).alias("state"))
+        before = open_
+        open_, seen = stage.save(step, {"n": F.count_if(F.col("state") == 0)})
+        stage.drop(before)
+    return own.join(open_.filter("state = 1").select(F.col("node_id").alias("_child")), "_child", "left_semi")
+
+
+def assign_parents(children: DataFrame, parents: DataFrame, score, decisions: DataFrame | None = None, k: int = 5, hard: float = 0.92, by: str = "l1", as_parent: dict[str, str] | None = None) -> DataFrame:
+    """GR-07, JN-03: (child_id, parent_id, decision, confidence, margin) per child.
+
+    Candidates share the category; the best at or above hard is taken as it is (hard_assign), then a
+    decision among the top k (model_assign), else the top one (fallback_top1). decisions: child_id,
+    parent_id, confidence and, optionally, create: a wish for a parent of its own (model_create).
+    as_parent (child column -> parent column) makes created parents candidates of later children, in
+    the order of child ids; without it every child without candidates creates one of its own.
+    """
+    spark = children.sparkSession
+    kind = children.schema["node_id"].dataType.simpleString()
     if decisions is None:
-        out = out.withColumn("_d", F.lit(None).cast("string")).withColumn("_c", F.lit(None).cast("double"))
+        decisions = spark.createDataFrame([], f"child_id {kind}, parent_id string, confidence double")
+    create = F.coalesce(F.col("create"), F.lit(False)) if "create" in decisions.columns else F.lit(False)
+    top = scored_candidates(children, parents, score, k, by)
+    if as_parent is not None:
+        stage = Stage(spark, "assign")
+        top = stage.save(top)
+        made = stage.save(created_parents(children, top, score, decisions.filter(create).select(F.col("child_id").alias("node_id")), hard, as_parent, by))
+        mine = made.select(F.col("_child").alias("_mc"), F.col("node_id").alias("_mine"))
+        top = _best(top.drop("rank").unionByName(_later(children, made, score, by)), k)
     else:
-        valid = decisions.join(top.select("child_id", "parent_id"), ["child_id", "parent_id"], "left_semi").groupBy("child_id").agg(F.max_by(F.struct("parent_id", "confidence"), F.struct("confidence", "parent_id")).alias("x"))
-        out = out.join(valid.select("child_id", F.col("x.parent_id").alias("_d"), F.col("x.confidence").alias("_c")), "child_id", "left")
-    new = F.concat(F.lit("NEW_"), F.substring(F.md5(F.col("child_id").cast("string")), 1, 8))
+        mine = None
+    nxt = Window.partitionBy("child_id").orderBy("rank")
+    best = top.withColumn("_next", F.lead("score").over(nxt)).filter("rank = 1")
+    chosen = best.select(F.col("child_id").alias("_cc"), F.col("parent_id").alias("_top"), F.col("score").alias("_s"), (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("margin"))
+    out = children.select(F.col("node_id").alias("child_id")).join(chosen, F.col("child_id") == F.col("_cc"), "left").drop("_cc")
+    given = decisions.filter(~create).select("child_id", "parent_id", "confidence")
+    valid = given.join(top.select("child_id", "parent_id"), ["child_id", "parent_id"], "left_semi").groupBy("child_id").agg(F.max_by(F.struct("parent_id", "confidence"), F.struct("confidence", "parent_id")).alias("x"))
+    out = out.join(valid.select("child_id", F.col("x.parent_id").alias("_d"), F.col("x.confidence").alias("_c")), "child_id", "left")
+    if mine is None:
+        out = out.withColumn("_mine", F.when(F.col("_top").isNull(), _new_id(F.col("child_id"))))
+    else:
+        out = out.join(mine, F.col("child_id") == F.col("_mc"), "left").drop("_mc")
+    wished = decisions.filter(create).select(F.col("child_id").alias("_w")).distinct()
+    out = out.join(wished, F.col("child_id") == F.col("_w"), "left")
+    sure = F.coalesce(F.col("_s") >= hard, F.lit(False))
+    made_one = F.col("_mine").isNotNull()
     return out.select(
         "child_id",
-        F.when(F.col("_top").isNull(), new).when(F.col("_s") >= hard, F.col("_top")).otherwise(F.coalesce("_d", "_top")).alias("parent_id"),
-        F.when(F.col("_top").isNull(), "create").when(F.col("_s") >= hard, "hard_assign").when(F.col("_d").isNotNull(), "model_assign").otherwise("fallback_top1").alias("decision"),
-        F.when(F.col("_top").isNull(), 0.0).when(F.col("_s") >= hard, F.col("_s")).otherwise(F.coalesce("_c", F.lit(0.0))).alias("confidence"), "margin",
+        F.when(made_one, F.col("_mine")).when(sure, F.col("_top")).otherwise(F.coalesce("_d", "_top")).alias("parent_id"),
+        F.when(made_one, F.when(F.col("_w").isNotNull() & F.col("_top").isNotNull(), "model_create").otherwise("create")).when(sure, "hard_assign").when(F.col("_d").isNotNull(), "model_assign").otherwise("fallback_top1").alias("decision"),
+        F.when(made_one, 0.0).when(sure, F.col("_s")).otherwise(F.coalesce("_c", F.lit(0.0))).alias("confidence"), "margin",
     )
 
 
+def _later(children: DataFrame, made: DataFrame, score, by: str) -> DataFrame:
+    """(child_id, parent_id, score) of created parents and the later children of their category."""
+    c = children.select(F.col("node_id").alias("child_id"), F.col(by).alias("_by"), *[F.col(x).alias(f"c_{x}") for x in children.columns if x not in ("node_id", by)])
+    p = made.select(F.col("node_id").alias("parent_id"), "_child", F.col(by).alias("_bp"), *[F.col(x).alias(f"p_{x}") for x in made.columns if x not in ("node_id", "_child", by)])
+    return lookup(c, p, "_by", "_bp", "child_id").filter(F.col("_child") < F.col("child_id")).select("child_id", "parent_id", score.alias("score"))
+
+
 def top_categories(members: DataFrame, labels: DataFrame, tops: DataFrame, k: int = 5) -> DataFrame:
     """ST-03: (node_id, category, score, rank) of the k best top categories per node by votes plus label
     overlap; ties take the smaller id. tops is a short definition list, held as one literal array."""

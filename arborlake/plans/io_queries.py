@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import json_text as J
 from arborlake.operators import decisions as D
 from arborlake.operators import evidence as E
+from arborlake.operators import graph as G
 from arborlake.operators.reshape import upsert
 from arborlake.plans import query
 from arborlake.plans.text_queries import s_tokens
@@ -318,9 +319,10 @@ def ev03(spark, d):
 @query("ev04_candidate_margin", """with s as (select c_custkey, s_suppkey, 1 - abs(c_acctbal - s_acctbal) / 11000 score, row_number() over (partition by c_custkey order by round(1 - abs(c_acctbal - s_acctbal) / 11000, 9) desc, s_suppkey) r from customer join supplier on c_nationkey = s_nationkey)
  select c_custkey child_id, round(max(case when r = 1 then score end) - coalesce(max(case when r = 2 then score end), 0.0::double), 6) margin from s group by 1""")
 def ev04(spark, d):
-    j = table(spark, d, "customer").join(table(spark, d, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    c = j.select(F.col("c_custkey").alias("child_id"), F.col("s_suppkey").alias("parent_id"), (1 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 11000).alias("score"))
-    return E.candidate_listing(c).select("child_id", F.round("margin", 6).alias("margin"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("l1"), "c_acctbal")
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("l1"), "s_acctbal")
+    top = G.scored_candidates(c, p, 1 - F.abs(F.col("c_c_acctbal") - F.col("p_s_acctbal")) / 11000, 8)
+    return E.candidate_listing(top).select("child_id", F.round("margin", 6).alias("margin"))
 
 
 @query("ev05_label_listing", "select l1_category, string_agg(label, '；' order by r) texts from (select l1_category, label, row_number() over (partition by l1_category order by node_id) r from (select l1_category, node_id, max(label) label from tree_nodes_l3 where label <> '' group by all)) where r <= 8 group by 1")

@@ -324,18 +324,29 @@ m as (select c_custkey, max(s_suppkey::varchar) pick from s where r <= 5 and s_s
  case when t.top is null then 'create' when s1 >= 0.98::double then 'hard_assign' when pick is not null then 'model_assign' else 'fallback_top1' end decision, round(s1 - coalesce(s2, 0.0::double), 6) margin
  from customer c left join t on t.c_custkey = c.c_custkey left join m on m.c_custkey = c.c_custkey""")
 def gr07(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node_id"), F.col("c_nationkey").alias("l1"), "c_acctbal")
-    s = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").cast("string").alias("node_id"), F.col("s_nationkey").alias("l1"), "s_acctbal")
-    score = 1 - F.abs(F.col("c_c_acctbal") - F.col("p_s_acctbal")) / 11000
+    c, s, score = _sides(spark, d)
     # decisions for candidates of every child: the largest key divisible by 4 among its top 5
-    w = Window.partitionBy("child_id").orderBy(F.desc(F.round("score", 9)), "parent_id")
-    pairs = c.select(F.col("node_id").alias("child_id"), "l1", F.col("c_acctbal").alias("c_c_acctbal")).join(s.select(F.col("node_id").alias("parent_id"), "l1", F.col("s_acctbal").alias("p_s_acctbal")), "l1").withColumn("score", score)
-    top = pairs.withColumn("r", F.row_number().over(w)).filter("r <= 5 and cast(parent_id as bigint) % 4 = 0")
+    top = G.scored_candidates(c, s, score, 5).filter("cast(parent_id as bigint) % 4 = 0")
     picks = top.groupBy("child_id").agg(F.max("parent_id").alias("parent_id")).withColumn("confidence", F.lit(0.8))
     out = G.assign_parents(c, s, score, picks, hard=0.98)
     return out.select(F.col("child_id").cast("long").alias("child_id"), "parent_id", "decision", F.round("margin", 6).alias("margin"))
 
 
+def _sides(spark, d, least=5000):
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node_id"), F.col("c_nationkey").alias("l1"), "c_acctbal")
+    s = table(spark, d, "supplier").filter(f"s_acctbal > {least}").select(F.col("s_suppkey").cast("string").alias("node_id"), F.col("s_nationkey").alias("l1"), "s_acctbal")
+    return c, s, 1 - F.abs(F.col("c_c_acctbal") - F.col("p_s_acctbal")) / 11000
+
+
+@query("gr07_created_candidates")
+def gr07_created(spark, d):
+    """Created parents as candidates of later children; every 40th customer wants one of its own, and in
+    categories without suppliers the first customer makes one."""
+    c, s, score = _sides(spark, d, 9000)
+    wishes = c.filter("cast(node_id as bigint) % 40 = 0").select(F.col("node_id").alias("child_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0.7).alias("confidence"), F.lit(True).alias("create"))
+    return G.assign_parents(c, s, score, wishes, hard=0.98, as_parent={"c_acctbal": "s_acctbal"}).select("child_id", "parent_id", "decision", F.round("margin", 6).alias("margin"))
+
+
 @query("jn03_category_candidates", "select c_nationkey l1, count(*) n from customer join supplier on c_nationkey = s_nationkey group by 1")
 def jn03(spark, d):
     """Number of child-parent candidates per category, from the two sides' counts."""
@@ -346,10 +357,8 @@ def jn03(spark, d):
 
 @query("st02_top_candidates", _CAND + " select c_custkey child_id, s_suppkey parent_id, cast(r as integer) as rank from s where r <= 5")
 def st02(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier").filter("s_acctbal > 5000")
-    j = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).withColumn("score", F.expr(_BLEND))
-    r = F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.desc(F.round("score", 9)), F.col("s_suppkey").cast("string")))
-    return j.withColumn("rank", r).filter("rank <= 5").select(F.col("c_custkey").alias("child_id"), F.col("s_suppkey").alias("parent_id"), "rank")
+    out = G.scored_candidates(*_sides(spark, d), 5)
+    return out.select(F.col("child_id").cast("long").alias("child_id"), F.col("parent_id").cast("long").alias("parent_id"), "rank")
 
 
 _VOTE = """with m as (select c_nationkey node_id, case c_mktsegment when 'BUILDING' then 'A' when 'AUTOMOBILE' then 'B' when 'MACHINERY' then 'C' end l1 from customer),

@@ -55,3 +55,32 @@ def test_linking_rounds(spark):
     got = {r.node_id: (r.parent_id, r.decision, r.is_new_parent) for r in links.collect()}
     assert got == {1: ("A", "R1_Hard_Link", False), 2: ("B", "R2_Fast_Match", False), 3: (cat.node_id, "R3_New_Created", True), 4: (cat.node_id, "R3_Deep_Audit", False), 5: ("A", "R3_Deep_Audit", False), 6: ("A", "R3_Deep_Audit", False)}
     assert {r.decision for r in G.vote_link(members, labels, tops)[0].collect()} == {"R1_Hard_Link", "R3_Deep_Audit"}
+
+
+def test_created_parents_are_candidates_of_later_children(spark):
+    import random
+
+    rng = random.Random(4)
+    kids = [(f"k{i:02}", rng.choice("xyz"), float(rng.randint(0, 60))) for i in range(60)]
+    parents = [(f"p{i}", rng.choice("xy"), float(rng.randint(0, 60))) for i in range(5)]
+    wishes, picks = {f"k{i:02}" for i in range(0, 60, 3)}, {"k01": "p0", "k02": "p1"}
+    rate = lambda a, b: 1 - abs(a - b) / 100
+    want, made = {}, []
+    for k, g, x in sorted(kids):
+        cand = sorted([(-round(rate(x, y), 9), p) for p, h, y in parents + made if h == g])[:5]
+        new = "NEW_" + __import__("hashlib").md5(k.encode()).hexdigest()[:8]
+        if cand and -cand[0][0] >= 0.95:
+            want[k] = (cand[0][1], "hard_assign")
+        elif not cand or k in wishes:
+            want[k] = (new, "model_create" if cand else "create")
+            made.append((new, g, x))
+        elif picks.get(k) in {p for _, p in cand}:
+            want[k] = (picks[k], "model_assign")
+        else:
+            want[k] = (cand[0][1], "fallback_top1")
+    c = spark.createDataFrame(kids, "node_id string, l1 string, a double")
+    p = spark.createDataFrame(parents, "node_id string, l1 string, b double")
+    rows = [(k, None, 0.5, True) for k in wishes] + [(k, v, 0.9, False) for k, v in picks.items()]
+    out = G.assign_parents(c, p, 1 - F.abs(F.col("c_a") - F.col("p_b")) / 100, spark.createDataFrame(rows, "child_id string, parent_id string, confidence double, create boolean"), hard=0.95, as_parent={"a": "b"})
+    assert {r.child_id: (r.parent_id, r.decision) for r in out.collect()} == want
+    assert G.assign_parents(c.limit(0), p, 1 - F.abs(F.col("c_a") - F.col("p_b")) / 100, as_parent={"a": "b"}).count() == 0
