@@ -42,6 +42,7 @@ BUCKETS = 1 << 16
 _SCRIPTS = np.array([0, 0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x250, 0x400, 0x500, 0x1100, 0x1200, 0x3040, 0x3100, 0x3400, 0x4DC0, 0x4E00, 0xA000, 0xAC00, 0xD7B0], np.uint32)
 # per range: 0 other, 1 Latin, 2 Cyrillic, 3 Hangul, 4 kana, 5 Han
 _SCRIPT_OF = np.array([0, 1, 0, 1, 0, 1, 0, 2, 0, 3, 0, 4, 0, 5, 0, 5, 0, 3, 0])
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}\x00]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 
@@ -49,7 +50,7 @@ _STEP = np.uint64(0x100000001B3)
 def grams(texts: Sequence[str], sizes: Sequence[int], scripts: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of every character n-gram of the texts, by array operations over all of
     them. scripts adds the script of every letter, twice, in buckets of its own."""
-    joined = regex.sub(r"[^\p{L}\p{M}\x00]+", " ", unicodedata.normalize("NFKC", "\x00".join(t.replace("\x00", " ") for t in texts)).lower())
+    joined = _NO_LETTERS.sub(" ", unicodedata.normalize("NFKC", "\x00".join(t.replace("\x00", " ") for t in texts)).lower())
     code = np.frombuffer((" " + joined.replace("\x00", " \x00 ") + " ").encode("utf-32-le", "replace"), np.uint32)
     owner, wide = np.cumsum(code == 0), code.astype(np.uint64)
     buckets, owners, h = [], [], None

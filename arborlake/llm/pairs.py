@@ -18,7 +18,6 @@ import json
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +47,9 @@ _IGNORED = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cc}\p{Cs}]+")
 #: Fields of a JSON answer that hold no prose.
 _CODES = {"action", "groups", "child_ids", "bridge_label", "id", "ids", "node_id"}
 _FIELD = regex.compile(r"\b(json|reason|" + "|".join(sorted(_CODES, key=len, reverse=True)) + r")\b", regex.I)
+_ELLIPSIS = regex.compile(r"(\.{3,}|。{3,}|…+)")
+_LETTER, _LETTERS, _WORD, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"\p{L}{2}"), regex.compile(r"\w"), regex.compile(r"[\W_]+")
+_NEXT = regex.compile(r"[。.!?！？]\s*\S")
 _NOTHING = {"", "null", "none", "nan", "na", "nil", "undefined", "empty", "无", "暂无", "空"}
 
 
@@ -96,8 +98,8 @@ def unwrap(raw: str | None) -> dict:
     t = clean(_FENCE.sub(" ", raw or ""))
     at = t.find("{")
     lead = t[:at] if at >= 0 else ""
-    if at < 0 or len(lead) > 60 or regex.search(r"[。.!?！？]\s*\S", lead.rstrip(" .。:：!！") or ""):
-        bare = regex.sub(r"[\W_]+", "", t).lower()
+    if at < 0 or len(lead) > 60 or _NEXT.search(lead.rstrip(" .。:：!！") or ""):
+        bare = _OTHER.sub("", t).lower()
         if t[:1] == '"' and t[-1:] == '"' and len(t) > 1:
             t = t[1:-1].strip()
         return {"prose": t, "json": False, "cut": False, "said": bare not in _NOTHING}
@@ -110,7 +112,7 @@ def unwrap(raw: str | None) -> dict:
         tail = body.rstrip()[-1:]
         cut = depth > 0 and not (inside and tail == "}")
         prose = [regex.sub(r'\\"', '"', m[1]) for m in regex.finditer(r'"(?:reason|error|explanation|answer|text|message|content)"\s*:\s*"(.*?)(?="\s*[,}\]]|$)', body, regex.S)]
-        said = bool(regex.search(r"\w", regex.sub(r'"\w+"\s*:', "", body)))
+        said = bool(_WORD.search(regex.sub(r'"\w+"\s*:', "", body)))
         return {"prose": " ".join(prose), "json": True, "cut": cut, "said": said or cut, "answer": '"action"' in body}
 
 
@@ -121,18 +123,20 @@ def mask(text: str) -> str:
 
 # Languages ----------------------------------------------------------------------------------------
 
-_NAMED = {k: regex.compile(v, regex.I) for k, v in NAMES.items()}
+_NAMED = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in NAMES.items()), regex.I)
 
 
 def named_language(own: str) -> str | None:
     """The language named last in the prompt's own words (mask())."""
-    named = [(m.end(), k) for k, p in _NAMED.items() for m in p.finditer(own)]
-    return max(named)[1] if named else None
+    last = None
+    for m in _NAMED.finditer(own):
+        last = m.lastgroup
+    return last
 
 
 def instruction(own: str) -> str:
     """The last two sentences of the prompt's own words: its instruction."""
-    sentences = [s for s in _SENTENCE.findall(own) if regex.search(r"\p{L}{2}", s)]
+    sentences = [s for s in _SENTENCE.findall(own) if _LETTERS.search(s)]
     return " ".join(sentences[-2:]) or own
 
 
@@ -142,31 +146,26 @@ _LEAD = regex.compile(r"^\W*(您的问题是|你的问题是|问题|原文|您
 
 
 def _bare(text: str) -> str:
-    return regex.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text)).lower()
-
-
-@lru_cache(4_096)
-def _prompt_grams(prompt: str, n: int) -> Counter:
-    b = _bare(prompt)
-    return Counter(b[i : i + n] for i in range(len(b) - n + 1))
+    return _OTHER.sub("", unicodedata.normalize("NFKC", text)).lower()
 
 
 def is_copy(prose: str, prompt: str, n: int = 5, of_prose: float = 0.8, of_prompt: float = 0.4) -> bool:
     """Whether the n-grams of the prose are the prompt's to that share and make up that share of it.
 
-    The count of the prose's n-grams ends as soon as too many are not the prompt's."""
-    a, gb = _bare(_LEAD.sub("", prose)), _prompt_grams(prompt, n)
-    if len(a) < n or not gb:
-        return bool(a) and a == _bare(prompt)
+    Looking up the prose's n-grams ends as soon as too many are not the prompt's."""
+    a, b = _bare(_LEAD.sub("", prose)), _bare(prompt)
+    if len(a) < n or len(b) < n:
+        return bool(a) and a == b
     total = len(a) - n + 1
     may_miss = (1 - of_prose) * total
+    own = b if len(b) < 2_000 else {b[i : i + n] for i in range(len(b) - n + 1)}
     for i in range(total):
-        if a[i : i + n] not in gb:
+        if a[i : i + n] not in own:
             may_miss -= 1
             if may_miss < 0:
                 return False
     ga = {a[i : i + n] for i in range(total)}
-    return sum(v for g, v in gb.items() if g in ga) >= of_prompt * sum(gb.values())
+    return sum(b[i : i + n] in ga for i in range(len(b) - n + 1)) >= of_prompt * (len(b) - n + 1)
 
 
 # Truncation ---------------------------------------------------------------------------------------
@@ -180,13 +179,13 @@ SHORTER = 3.0
 
 def mask_quotes(text: str) -> str:
     """Text with every closed label as one character; a label left open stays, and ends no sentence."""
-    return regex.sub(r"(\.{3,}|。{3,}|…+)", "…", _CLOSED.sub("\N{REPLACEMENT CHARACTER}", text))
+    return _ELLIPSIS.sub("…", _CLOSED.sub("\N{REPLACEMENT CHARACTER}", text))
 
 
 def last_grams(prose: str) -> list[str] | None:
     """The n-grams a text ends with, longest first; None when a mark closes it or it has no letter."""
     t = mask_quotes(prose).rstrip()
-    if not regex.search(r"\p{L}", t) or t[-1] in _STOP or t[-1] in ":：;；":
+    if not _LETTER.search(t) or t[-1] in _STOP or t[-1] in ":：;；":
         return None
     return [t[-n:] for n in _N if len(t) >= n]
 
@@ -272,7 +271,7 @@ def _count_log(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             everything[:] += np.bincount(b, k[o], BUCKETS)
             own = [mask(t) for t in some]
             p = model.posterior(model.scores(own))
-            sure = (p[:, :-1].max(1) > 0.999) & (np.array([len(regex.findall(r"\p{L}", t)) for t in own]) >= 6)
+            sure = (p[:, :-1].max(1) > 0.999) & (np.array([len(_LETTER.findall(t)) for t in own]) >= 6)
             b, o = grams(own, LanguageModel.SIZES, True)
             keep = sure[o]
             np.add.at(by_language, (p.argmax(1)[o[keep]], b[keep]), k[o[keep]])
@@ -355,7 +354,7 @@ def _judge(languages: LanguageModel, refusals: RefusalModel):
                     defect = "copy"
                 elif no[i]:
                     defect = "refusal"
-                elif prompt and len(regex.findall(r"\p{L}", own[i])) >= 6:
+                elif prompt and len(_LETTER.findall(own[i])) >= 6:
                     want = at[named[i]] if named[i] else int(np.argmax(spoken[i]))
                     p = languages.posterior(heard[i])
                     if want < len(LANGUAGES) and int(p.argmax()) != want and p[want] < 0.01:
