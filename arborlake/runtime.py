@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 HOT_MIN_ROWS = 200_000
 HOT_FRACTION = 500
 #: Rows a table may have to be broadcast by bounded(): some megabytes, whatever the data.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 4_000
 
 
 def session(app: str = "arborlake", cores: int | str = "*", partitions: int = 8) -> SparkSession:
