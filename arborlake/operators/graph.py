@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions.text import jaccard, node_id, tokens
@@ -13,6 +15,9 @@ from arborlake.runtime import Stage, hot_keys, lookup, skew_join
 #: Top-level categories of a definition list, at most.
 MAX_CATEGORIES = 1_000
 
+#: Numbers of parents in one block of nearest_candidates, without the overlap of neighbouring blocks.
+NEAR_BLOCK = 64
+
 
 def trimmed_mean(x, share: float = 0.1):
     """AG-02: mean of an array of scores without floor(share * n) at each end."""
@@ -112,19 +117,75 @@ def emit_clusters(membership: DataFrame, labels: DataFrame, level: int, by: list
     return g.select(*by, "cluster", node_id(F.lit(level), F.col("_m")).alias("node_id"), F.col("_first._l").alias("label"), F.when(size > 1, "merge-cc").otherwise("seed-existing").alias("provenance"), size.alias("size"))
 
 
-def scored_candidates(children: DataFrame, parents: DataFrame, score, k: int, by: str = "l1") -> DataFrame:
+def scored_candidates(children: DataFrame, parents: DataFrame, score, k: int, by: str = "l1", near: tuple[str, str] | None = None) -> DataFrame:
     """ST-02, JN-03: (child_id, parent_id, score, rank) of the k best parents of a child's category.
 
     score is an expression over c_<child column> and p_<parent column>; ties take the smaller id.
     Children of a category that holds many are spread over tasks, and only k rows a child and task
-    are shuffled, though every parent of the category is scored.
+    are shuffled, though every parent of the category is scored. near (child column, parent column)
+    says that score is a function of these two numbers, null where one is null, that does not rise
+    with their distance: then a child meets only the parents next to its number (nearest_candidates).
     """
+    if near:
+        return _best(nearest_candidates(children, parents, score, k, by, near), k)
     c = children.select(F.col("node_id").alias("child_id"), F.col(by).alias("_by"), *[F.col(x).alias(f"c_{x}") for x in children.columns if x not in ("node_id", by)])
     p = parents.select(F.col("node_id").cast("string").alias("parent_id"), F.col(by).alias("_bp"), *[F.col(x).alias(f"p_{x}") for x in parents.columns if x not in ("node_id", by)])
     scored = lookup(c, p, "_by", "_bp", "child_id").select("child_id", "parent_id", score.alias("score"))
     return _best(scored, k)
 
 
+def nearest_candidates(children: DataFrame, parents: DataFrame, score: Callable[[Column, Column], Column], k: int, by: str, near: tuple[str, str]) -> DataFrame:
+    """(child_id, parent_id, score) with the k best parents of every child, by sorting.
+
+    Parents of one number need only their k smallest ids. The numbers of a category are ranked and cut
+    into blocks; a child takes the k + 1 numbers at either side of its own from its block, at a cost that
+    does not grow with the parents. The outer two only tell whether more of them may tie with the k-th
+    best; such children, those with fewer than k parents next to them and infinite numbers meet all
+    numbers of their category.
+    """
+    stage = Stage(children.sparkSession, "nearest")
+    c = children.select(F.col("node_id").alias("child_id"), F.col(by).alias("_by"), F.col(near[0]).cast("double").alias("_v")).filter("_by is not null")
+    p = parents.select(F.col("node_id").cast("string").alias("parent_id"), F.col(by).alias("_bp"), F.col(near[1]).cast("double").alias("_pv")).filter("_bp is not null")
+    few = p.withColumn("_r", F.row_number().over(Window.partitionBy("_bp", "_pv").orderBy("parent_id"))).filter(F.col("_r") <= k).drop("_r")
+    few, seen = stage.save(few, {"nan": F.count_if(F.isnan("_pv"))})
+    values = few.filter("_pv is not null and not isnan(_pv)").groupBy("_bp", "_pv").agg(F.collect_list("parent_id").alias("_ids"))
+    key = lambda group: F.concat_ws("\x01", F.col(group).cast("string"), F.col("_block").cast("string"))
+    at = full_rank(values, "_bp", [F.asc("_pv")], "_at")
+    blocks = at.withColumn("_block", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - k - 1) / NEAR_BLOCK)), F.floor((F.col("_at") + k) / NEAR_BLOCK))))
+    blocks = blocks.groupBy(key("_bp").alias("_bk")).agg(F.sort_array(F.collect_list(F.struct("_at", "_pv", "_ids"))).alias("_x"))
+
+    plain = F.coalesce(F.abs("_v") < float("inf"), F.lit(False))
+    both = c.filter(plain).withColumn("_p", F.lit(False)).unionByName(values.select(F.col("_bp").alias("_by"), F.col("_pv").alias("_v"), F.lit(True).alias("_p")), allowMissingColumns=True)
+    placed = full_rank(both, "_by", [F.asc("_v"), F.desc("_p")], "_n", of=F.col("_p")).filter("not _p").withColumn("_block", F.floor(F.col("_n") / NEAR_BLOCK))
+    placed = stage.save(placed.select("child_id", "_by", "_v", "_n", key("_by").alias("_k")))
+    n = F.col("_n")
+    start = F.get("_x", F.lit(0))["_at"]
+    first = F.greatest(start, n - k)
+    around = F.slice("_x", first - start + 1, n + k + 2 - first)
+    met = lookup(placed, blocks, "_k", "_bk", "child_id", "left").withColumn("_s", F.transform(around, lambda x: F.struct(score(F.col("_v"), x["_pv"]).alias("score"), x["_ids"].alias("ids"), x["_at"].isin(n - k, n + k + 1).alias("outer"))))
+    met = met.withColumn("_s", F.transform("_s", lambda x: x.withField("r", -F.round(x["score"], 9))))
+    met = met.withColumn("_c", F.slice(F.sort_array(F.flatten(F.transform("_s", lambda x: F.transform(x["ids"], lambda i: F.struct(x["r"].alias("r"), i.alias("parent_id"), x["score"].alias("score")))))), 1, k))
+    last = F.get("_c", F.lit(k - 1))["r"]
+    met = met.withColumn("_open", F.coalesce(F.size("_c") < k, F.lit(True)) | F.coalesce(F.exists("_s", lambda x: x["outer"] & (x["r"] <= last)), F.lit(False)))
+    met, left = stage.save(met.select("child_id", "_by", "_v", "_open", F.when(~F.col("_open"), F.col("_c")).alias("_c")), {"n": F.count_if("_open")})
+    stage.drop(placed)
+
+    out = met.filter("not _open").select("child_id", F.inline("_c")).select("child_id", "parent_id", "score")
+    pairs = lambda some, those: lookup(some, those, "_by", "_bp", "child_id").select("child_id", "parent_id", score(F.col("_v"), F.col("_pv")).alias("score"))
+    if seen["nan"]:  # they rank first with every child
+        out = out.unionByName(pairs(met.filter("not _open"), few.filter(F.isnan("_pv"))))
+    if left["n"]:
+        out = out.unionByName(pairs(met.filter("_open"), few))
+    far = c.filter(~plain)
+    if not far.isEmpty():
+        # null and NaN make all scores alike: the first ids, before and after those without a number
+        low = lambda *order: F.row_number().over(Window.partitionBy("_bp").orderBy(*order))
+        firsts = few.withColumns({"_r": low("parent_id"), "_q": low(F.col("_pv").isNull(), "parent_id")}).filter((F.col("_r") <= k) | (F.col("_q") <= k))
+        blind = F.isnan("_v") | F.col("_v").isNull()
+        out = out.unionByName(pairs(far.filter(blind), firsts)).unionByName(pairs(far.filter(~blind), few))
+    return out
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("child_id").orderBy(F.desc(F.round("score", 9)), "parent_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from arborlake.runtime import Stage
 
 
-def full_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank", partitions: int | None = None, total: str | None = None) -> DataFrame:
+def full_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank", partitions: int | None = None, total: str | None = None, of: Column | None = None) -> DataFrame:
     """Row number from 1 of every row within its key, without one task per key.
 
     Rows are range-partitioned by key and order, so a hot key spans several partitions; each row
     ranks within its partition and key, and gets the count of the key's earlier partitions on top.
-    total names a column for the number of rows of the key. Null keys form one group; rows that are equal
+    total names a column for the number of rows of the key; with of, only rows for which it holds are
+    counted, so the others get the number of those before them. Null keys form one group; rows that are equal
     in order take their ranks in the order of their hash, which spreads any number of them as well. Top-k uses rank filters instead, which Spark
     already limits before the shuffle.
     """
     stage = Stage(df.sparkSession, "rank")
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stage.save(df.repartitionByRange(n, F.col(key), *order, F.xxhash64(*df.columns)).withColumn("_fr_p", F.spark_partition_id()))
-    local = placed.withColumn("_fr_r", F.row_number().over(Window.partitionBy("_fr_p", key).orderBy(*order, F.xxhash64(*df.columns))))
-    counts = placed.groupBy(F.col(key).alias("_fr_k"), F.col("_fr_p").alias("_fr_q")).agg(F.count("*").alias("_fr_n"))
+    w = Window.partitionBy("_fr_p", key).orderBy(*order, F.xxhash64(*df.columns))
+    local = placed.withColumn("_fr_r", F.row_number().over(w) if of is None else F.count_if(of).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = placed.groupBy(F.col(key).alias("_fr_k"), F.col("_fr_p").alias("_fr_q")).agg((F.count("*") if of is None else F.count_if(of)).alias("_fr_n"))
     if total:
         counts = counts.withColumn("_fr_t", F.sum("_fr_n").over(Window.partitionBy("_fr_k")))
     before = counts.withColumn("_fr_o", F.coalesce(F.sum("_fr_n").over(Window.partitionBy("_fr_k").orderBy("_fr_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_fr_n")

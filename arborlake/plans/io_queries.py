@@ -321,7 +321,7 @@ def ev03(spark, d):
 def ev04(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("l1"), "c_acctbal")
     p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("l1"), "s_acctbal")
-    top = G.scored_candidates(c, p, 1 - F.abs(F.col("c_c_acctbal") - F.col("p_s_acctbal")) / 11000, 8)
+    top = G.scored_candidates(c, p, lambda a, b: 1 - F.abs(a - b) / 11000, 8, near=("c_acctbal", "s_acctbal"))
     return E.candidate_listing(top).select("child_id", F.round("margin", 6).alias("margin"))
 
 
