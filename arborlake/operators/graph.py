@@ -225,7 +225,7 @@ def created_parents(children: DataFrame, static: DataFrame, score, wishes: DataF
     return own.join(open_.filter("state = 1").select(F.col("node_id").alias("_child")), "_child", "left_semi")
 
 
-def assign_parents(children: DataFrame, parents: DataFrame, score, decisions: DataFrame | None = None, k: int = 5, hard: float = 0.92, by: str = "l1", as_parent: dict[str, str] | None = None) -> DataFrame:
+def assign_parents(children: DataFrame, parents: DataFrame, score, decisions: DataFrame | None = None, k: int = 5, hard: float = 0.92, by: str = "l1", as_parent: dict[str, str] | None = None, top: DataFrame | None = None) -> DataFrame:
     """GR-07, JN-03: (child_id, parent_id, decision, confidence, margin) per child.
 
     Candidates share the category; the best at or above hard is taken as it is (hard_assign), then a
@@ -233,13 +233,14 @@ def assign_parents(children: DataFrame, parents: DataFrame, score, decisions: Da
     parent_id, confidence and, optionally, create: a wish for a parent of its own (model_create).
     as_parent (child column -> parent column) makes created parents candidates of later children, in
     the order of child ids; without it every child without candidates creates one of its own.
+    top: scored_candidates of the same tables, where they are at hand.
     """
     spark = children.sparkSession
     kind = children.schema["node_id"].dataType.simpleString()
     if decisions is None:
         decisions = spark.createDataFrame([], f"child_id {kind}, parent_id string, confidence double")
     create = F.coalesce(F.col("create"), F.lit(False)) if "create" in decisions.columns else F.lit(False)
-    top = scored_candidates(children, parents, score, k, by)
+    top = scored_candidates(children, parents, score, k, by) if top is None else top
     if as_parent is not None:
         stage = Stage(spark, "assign")
         top = stage.save(top)
@@ -248,12 +249,13 @@ def assign_parents(children: DataFrame, parents: DataFrame, score, decisions: Da
         top = _best(top.drop("rank").unionByName(_later(children, made, score, by)), k)
     else:
         mine = None
-    nxt = Window.partitionBy("child_id").orderBy("rank")
-    best = top.withColumn("_next", F.lead("score").over(nxt)).filter("rank = 1")
-    chosen = best.select(F.col("child_id").alias("_cc"), F.col("parent_id").alias("_top"), F.col("score").alias("_s"), (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("margin"))
+    # one row a child, with at most k ids: all that follows is joined by child, as the ranks are placed
+    at = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    best = top.groupBy(F.col("child_id").alias("_cc")).agg(at(1, "parent_id").alias("_top"), at(1, "score").alias("_s"), at(2, "score").alias("_next"), F.collect_list("parent_id").alias("_ids"))
+    chosen = best.select("_cc", "_top", "_s", (F.col("_s") - F.coalesce("_next", F.lit(0.0))).alias("margin"))
     out = children.select(F.col("node_id").alias("child_id")).join(chosen, F.col("child_id") == F.col("_cc"), "left").drop("_cc")
     given = decisions.filter(~create).select("child_id", "parent_id", "confidence")
-    valid = given.join(top.select("child_id", "parent_id"), ["child_id", "parent_id"], "left_semi").groupBy("child_id").agg(F.max_by(F.struct("parent_id", "confidence"), F.struct("confidence", "parent_id")).alias("x"))
+    valid = given.join(best.select("_cc", "_ids"), F.col("child_id") == F.col("_cc")).filter(F.array_contains("_ids", F.col("parent_id"))).groupBy("child_id").agg(F.max_by(F.struct("parent_id", "confidence"), F.struct("confidence", "parent_id")).alias("x"))
     out = out.join(valid.select("child_id", F.col("x.parent_id").alias("_d"), F.col("x.confidence").alias("_c")), "child_id", "left")
     if mine is None:
         out = out.withColumn("_mine", F.when(F.col("_top").isNull(), _new_id(F.col("child_id"))))

@@ -1,5 +1,6 @@
 """Candidates of children by sorted numbers: whole results, without scoring every pair."""
 
+import hashlib
 import random
 
 import pytest
@@ -55,6 +56,23 @@ def test_margin_of_candidates(spark, shop):
     assert most < 30_000  # 540,000 pairs share the nation
 
 
+def test_assigned_parents(spark, shop):
+    d, c, s = shop
+    got, most = most_rows(spark, lambda: entry.queries()["gr07_assign_parents"](spark, d).collect())
+    want = {}
+    for i, r in ranked(c, [x for x in s if x[2] > 5000], str).items():
+        picks = [str(p) for _, p in r[:5] if p % 4 == 0]
+        if not r:
+            want[i] = ("NEW_" + hashlib.md5(str(i).encode()).hexdigest()[:8], "create")
+        elif r[0][0] >= 0.98:
+            want[i] = (str(r[0][1]), "hard_assign")
+        else:
+            want[i] = (max(picks), "model_assign") if picks else (str(r[0][1]), "fallback_top1")
+    assert {r.child_id: (r.parent_id, r.decision) for r in got} == want and len(got) == len(c)
+    assert {x for _, x in want.values()} == {"create", "hard_assign", "model_assign", "fallback_top1"}
+    assert most < 30_000  # over 200,000 pairs share the nation
+
+
 @pytest.mark.parametrize("kind", ["close", "odd", "few"])
 def test_nearest_candidates_are_those_of_all_pairs(spark, kind):
     rng = random.Random(kind)
